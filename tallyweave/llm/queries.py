@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, exact_dedup, mixing
+from tallyweave.llm import bpe, chat, exact_dedup, jaccard, mixing, pii, secrets, toxicity
 from tallyweave.llm.common import table
 
 
+def _written_spans(spans: Column, name) -> Column:
+    """kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def _counts(spans: Column, kinds: dict) -> list[Column]:
+    def of(k) -> Callable[[Column], Column]:
+        return lambda x: x["kind"] == F.lit(k)
+
+    return [F.size(F.filter(spans, of(k))).cast("long").alias(f"n_{name}") for name, k in kinds.items()]
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    name = lambda k: F.element_at(pii.names(), k + 1)
+    counts = _counts(F.col("base"), {kind: i for i, (kind, _, _) in enumerate(pii.KINDS)})
+    return found.select("doc_id", *counts, F.sha2(_written_spans(F.col("base"), name), 256).alias("base_sha256"), _written_spans(F.col("spans"), name).alias("spans"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.with_copies(table(spark, sf_dir, "documents"))
     return rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
@@ -31,6 +57,38 @@ SELECT doc_id, size, source_size, target, size * least(floor(rate)::BIGINT + CAS
 """
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    kinds = {r.kind: r.kind for r in secrets.BASE}
+    base = F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    same = lambda k: k
+    return found.select("doc_id", *_counts(F.col("spans"), kinds), F.sha2(_written_spans(base, same), 256).alias("base_sha256"), _written_spans(F.col("spans"), same).alias("spans"))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+#: A conversation that says the template's own control strings.
+HARD = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(turns.unionByName(spark.createDataFrame(HARD, turns.schema))))
+
+
+OP7_SQL = r"""
+WITH hard(conv_id, turn, role, text) AS (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL FROM hard))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || role || ': ' || replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') || ' </turn>') + 1)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), offsets=False)
     rows = encoded.select("doc_id", "tokens", (F.length("tokens") / 4).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"))
@@ -47,5 +105,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op8_byte_bpe, op10_exact_dedup)}
-ORACLES = {"op4_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op4_mixing, op5_secrets, op6_jaccard, op7_chat, op8_byte_bpe, op10_exact_dedup)}
+ORACLES = {"op4_mixing": OP4_SQL, "op7_chat": OP7_SQL, "op10_exact_dedup": OP10_SQL}
