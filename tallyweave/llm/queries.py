@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, chat, exact_dedup, jaccard, mixing, pii, secrets, toxicity
+from tallyweave.llm import ann, bpe, chat, exact_dedup, jaccard, mixing, pii, secrets, toxicity
 from tallyweave.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written_spans(F.col("base"), name), 256).alias("base_sha256"), _written_spans(F.col("spans"), name).alias("spans"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.with_copies(table(spark, sf_dir, "documents"))
     return rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
@@ -105,5 +109,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op4_mixing, op5_secrets, op6_jaccard, op7_chat, op8_byte_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_ann, op4_mixing, op5_secrets, op6_jaccard, op7_chat, op8_byte_bpe, op10_exact_dedup)}
 ORACLES = {"op4_mixing": OP4_SQL, "op7_chat": OP7_SQL, "op10_exact_dedup": OP10_SQL}
