@@ -1,5 +1,45 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
-STAGES = []
+"""The corpus pipeline: five stages over documents. Each is a function (spark, docs, sf_dir); its result is written and read again as the next one's docs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyweave.llm import bpe, exact_dedup, jaccard, mixing, toxicity
+from tallyweave.llm.common import table, written
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, does not reject."""
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest identifier's stays."""
+    return exact_dedup.deduplicated(docs)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents (five words, similarity 0.8) the smallest identifier's stays."""
+    return jaccard.representatives(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate says."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, tokens and starts."""
+    return bpe.encode(docs)
+
+
+STAGES = [("toxicity", not_toxic), ("exact_dedup", no_copies), ("near_dedup", no_near_copies), ("mixing", mix), ("encode", encode)]
+#: The fitted classifier, the connected components and the byte pairs are beyond SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
