@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import ann, bpe, chat, exact_dedup, jaccard, mixing, pii, secrets, toxicity
+from tallyweave.llm import ann, bpe, chat, exact_dedup, jaccard, lm, mixing, pii, secrets, toxicity
 from tallyweave.llm.common import table
 
 
@@ -99,6 +99,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(rows).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -109,5 +113,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_ann, op4_mixing, op5_secrets, op6_jaccard, op7_chat, op8_byte_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_ann, op4_mixing, op5_secrets, op6_jaccard, op7_chat, op8_byte_bpe, op9_lm_scoring, op10_exact_dedup)}
 ORACLES = {"op4_mixing": OP4_SQL, "op7_chat": OP7_SQL, "op10_exact_dedup": OP10_SQL}
