@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse word features.
 
-Severity grades come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality. The model is
+Severity grades come from the labels and how much of what marks toxic texts a text holds: 0 not toxic, 1 toxic, 2 toxic with more
+distinct marking words than half of the toxic labelled texts. The model is
 P(grade >= k) = sigmoid(w . x - t_k) with one w for all ascending thresholds t_k; x has a 1 for each word of the vocabulary
 that the text contains. The expected severity is the sum of P(grade >= k) over k; a text is rejected from P(grade >= 1) = 0.5 on.
 
@@ -9,7 +10,7 @@ by class are counted over all of them in Spark; words that at least MIN_DOCS con
 is significant (signed root of the likelihood ratio) make up the vocabulary, at most MAX_WORDS. Scoring covers every document in one pass without a shuffle.
 
 Defined results:
-- null text: as the empty text; null or missing labels: left out of the fit; several labels of a document: the worst grade
+- null text: as the empty text; null or missing labels: left out of the fit; several labels of a document: toxic if one says so
 - no labelled document of one of both classes: every text gets the share of toxic ones (0 without labels) as its probability
 - empty table: no rows; repeated rows: a row each, the same scores; extra columns: kept by ``clean``, ignored by ``scored``
 """
@@ -88,8 +89,8 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_words: int, ridge:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """labels: identifier, toxic and quality."""
-    grade = F.when(F.col("toxic") == 0, 0).when((F.col("toxic") == 1) & (F.col("quality") == 0), 2).when(F.col("toxic") == 1, 1)
+    """labels: identifier and toxic, 0 or 1."""
+    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, 1)
     known = labels.select(F.col(id_col).alias("id"), grade.alias("grade")).filter("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").alias("grade"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     # at most max_labelled rows of two numbers
@@ -102,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
                 found = [sorted(words_of(t)) for t in batch.column(1).slice(a, PORTION).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(grades[a : a + PORTION], pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["grade", "words"])
 
-    bags = texts.mapInArrow(distinct, "grade int, words array<string>")
-    seen = bags.groupBy("grade").count().collect()
+    counted = texts.mapInArrow(distinct, "grade int, words array<string>")
+    seen = counted.groupBy("grade").count().collect()
     total = sum(r["count"] for r in seen)
     toxic = sum(r["count"] for r in seen if r["grade"] > 0)
     if not 0 < toxic < total:
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     part = lambda x, rows: F.when(x > 0, x * F.log(x * total / ((a + b) * rows))).otherwise(0.0)
     ratio = 2 * (part(a, toxic) + part(b, total - toxic) + _absent(toxic - a, total - a - b, toxic, total) + _absent(total - toxic - b, total - a - b, total - toxic, total))
     words = (
-        bags.select("grade", F.explode("words").alias("word"))
+        counted.select("grade", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(F.count_if(F.col("grade") > 0).alias("a"), F.count_if(F.col("grade") == 0).alias("b"))
         .filter(F.col("a") + F.col("b") >= MIN_DOCS)
@@ -122,9 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
         .filter(F.col("root") >= MIN_ROOT)
         .orderBy(F.desc("root"), "word")
         .limit(MAX_WORDS)
-        .select("word")
+        .select("word", (a * (total - toxic) > b * toxic).alias("marks"))
     )
-    vocabulary = [r["word"] for r in words.collect()]
+    found = words.collect()
+    vocabulary, marks = [r["word"] for r in found], np.array([r["marks"] for r in found], bool)
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     # bounded by max_labelled documents and MAX_WORDS words
     rows = texts.mapInArrow(places, "grade int, places binary").collect()
     rows.sort(key=lambda r: (r["grade"], bytes(r["places"])))
-    weights, thresholds = fit_ordinal([np.frombuffer(r["places"], np.int32) for r in rows], np.array([r["grade"] for r in rows]), len(vocabulary))
+    bags, grades = [np.frombuffer(r["places"], np.int32) for r in rows], np.array([r["grade"] for r in rows])
+    marking = np.array([marks[b].sum() for b in bags])
+    grades[(grades == 1) & (marking > np.median(marking[grades == 1]))] = 2
+    weights, thresholds = fit_ordinal(bags, grades, len(vocabulary))
     return Model(thresholds.tolist(), dict(zip(vocabulary, weights.tolist())))
 
 
