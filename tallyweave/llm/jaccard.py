@@ -10,10 +10,12 @@ fall into classes so that partners are in one class or in neighbours; a set has
 have lists too, so a pair with one heavy member is found there. The boundary is where the
 written subsets of the sizes below plus the scanned lists of the sizes above cost least, by the sizes in the corpus.
 
-Sets with the same contents count once throughout. Candidates that share a key are not paired with each other: each goes to the
-key's pivots, the smallest members of distinct components so far. Linked ones join the pivot's component; keys whose
-members are all in one component are done, and for the rest the next pivots follow until every pair of a key that still spans two components
-has been compared. So no link between components is lost, and a group of n near copies costs about n comparisons. Comparisons are exact.
+Sets with the same contents count once throughout. The members of a key stream through numpy with a sketch each (counts of elements
+by bin; the bins' distance never exceeds the number of differing elements, so pairs whose sketches differ by more than may be are
+dropped for certain). A key of few members gives all pairs that are left. In a longer one each member outside the largest component goes to
+its nearest untried members of other components, a few at first and more in each turn; linked ones merge, and rounds go on until no untried pair of two components
+is left. So no link between components is lost, a group of n near copies costs about n comparisons a round, and the components at least
+halve in a round. A key of more than MOST members is split in parts; its members outside the largest component visit each part. Comparisons are exact.
 
 Defined results:
 - null text or no words: an empty set, linked with nothing; fewer words than a shingle: one shingle, the whole sequence
@@ -42,7 +44,9 @@ PORTION = 2_000_000
 #: A list's scan and its comparisons against the writing of a subset.
 SCAN_COST = 4
 LIGHTEST, HEAVIEST = 1, 64
-PIVOTS = 16
+BINS = 256
+#: NEAREST partners in the first turn, GROWTH times as many in each further one.
+FEW, NEAREST, GROWTH, MOST, BLOCK = 48, 2, 8, 8192, 128
 BROADCAST_KEYS = 1_000_000
 BROADCAST_IDS = 200_000
 
@@ -133,6 +137,11 @@ def part_keys(sets: list[np.ndarray], families: list[int], sizes: Sizes) -> tupl
     return keys[kept], of[kept]
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall in each bin, at most 255."""
+    return np.minimum(np.bincount(mix(elements, 41) >> np.uint64(56), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
     a = size = 0
     lengths = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
@@ -144,7 +153,7 @@ def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
 
 
 def _profile(docs: DataFrame, words: int, percent: int, boundary: int) -> DataFrame:
-    """A row per document: id, n, sid (identifier of its set) and keys, all as one binary."""
+    """A row per document: id, n, sid (identifier of its set), keys, all as one binary, and sketch."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +180,11 @@ def _profile(docs: DataFrame, words: int, percent: int, boundary: int) -> DataFr
                         found[i].append(keys[cuts[x] : cuts[x + 1]])
                 blobs = [np.concatenate(x).tobytes() if x else b"" for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64()), pa.array(blobs, pa.binary())], names=["id", "n", "sid", "keys"]
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.int64()), pa.array(blobs, pa.binary()), pa.array([sketch(s) if x else b"" for s, x in zip(sets, found)], pa.binary())],
+                    names=["id", "n", "sid", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, n long, sid long, keys binary")
+    return docs.mapInArrow(run, f"id {id_type}, n long, sid long, keys binary, sketch binary")
 
 
 def _postings(profile: DataFrame) -> DataFrame:
@@ -234,35 +244,33 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     keys = postings.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("most")).filter("pivot <> most").select("key", "pivot")
     keys = written(keys, "keys")
     members = written(postings.join(_small(keys.select("key"), keys.count(), BROADCAST_KEYS), "key", "left_semi").distinct(), "members")
-    # round 0: each member with its key's smallest
-    pairs = members.join(keys, "key").filter("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-    firsts = profile.groupBy("sid").agg(F.min("id").alias("id"))
-    reps = written(members.select("sid").distinct().join(firsts, "sid"), "reps")
-    texts = rows.join(_small(reps.select("id").distinct(), reps.count(), BROADCAST_IDS), "id", "left_semi")
-    sets = written(_sets(texts, words).join(_small(reps.select("sid"), reps.count(), BROADCAST_IDS), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    tried = written(pairs, "pairs")
-    links = written(_verified(tried, sets, percent), "verified")
-    roots = components(links)
-    live = members
-    while True:
+    marks = profile.join(_small(members.select("sid").distinct(), BROADCAST_IDS + 1, BROADCAST_IDS), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("id"))
+    marks = written(marks, "marks")
+    live, tried, links, sets = members, None, None, None
+    roots = members.sparkSession.createDataFrame([], "node long, root long")
+    for turn in range(10**6):
         labelled = live.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        live = written(labelled.join(mixed, "key", "left_semi"), "live")
-        if live.isEmpty():
+        if turn:
+            mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+            labelled = written(labelled.join(mixed, "key", "left_semi"), "live")
+            if labelled.isEmpty():
+                break
+        offered = written(_offered(labelled, marks.select("sid", "n", "sketch"), tried, percent, turn), "offered")
+        fresh = offered.select("a", "b").distinct()
+        fresh = written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
             break
-        # the next pivots: the smallest members outside the key's largest component
-        heads = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-        heads = heads.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-        others = live.join(heads, "key").filter("root <> main")
-        pivots = _least(others, PIVOTS)
-        pairs = live.join(pivots, "key").filter("root <> pivot_root").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-        fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(fresh, sets, percent))
-        tried = tried.unionByName(fresh)
-        links = written(links, "verified")
+        both = fresh.select(F.col("a").alias("sid")).unionByName(fresh.select(F.col("b").alias("sid"))).distinct()
+        wanted = both if sets is None else both.join(sets, "sid", "left_anti")
+        more = written(_wanted_sets(rows, written(wanted.join(marks.select("sid", "id"), "sid"), "wanted"), words), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        found = _verified(fresh, sets, percent)
+        links = written(found if links is None else found.unionByName(links), "verified")
+        tried = fresh if tried is None else tried.unionByName(fresh)
         roots = components(links)
-        # a pivot has met every other member of its key, so it leaves the key
-        live = live.join(pivots.select("key", F.col("pivot").alias("sid")), ["key", "sid"], "left_anti").select("key", "sid")
+        # short keys have given all their pairs; the others go on
+        live = written(labelled.select("key", "sid").join(offered.filter("NOT complete").select("key").distinct(), "key", "left_semi"), "members")
+    firsts = profile.groupBy("sid").agg(F.min("id").alias("id"))
     rooted = roots.select(F.col("node").alias("sid"), "root")
     in_root = lambda df: df.join(rooted, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = in_root(firsts).groupBy("root").agg(F.min("id").alias("component"))
@@ -271,12 +279,104 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _least(rows: DataFrame, n: int) -> DataFrame:
-    """Up to n pivots of each key, the smallest members; each with its component."""
-    from pyspark.sql import Window as W
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """sid and elements of the sets in wanted (sid, id), from the texts of one document each."""
+    n = wanted.count()
+    texts = docs.join(_small(wanted.select("id").distinct(), n, BROADCAST_IDS), "id", "left_semi")
+    return _sets(texts, words).join(_small(wanted.select("sid"), n, BROADCAST_IDS), "sid", "left_semi").dropDuplicates(["sid"])
+
+
+def _offered(live: DataFrame, marks: DataFrame, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
+    """live: key, sid, root. Pairs to compare: key, a, b, complete (whether the key has no others)."""
+    big = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > MOST)
+    # the size and largest component of the keys that are split; there are fewer than members / MOST
+    big = written(big, "big")
+    rows = live
+    if big.isEmpty():
+        rows = rows.select("*", F.lit(0).cast("long").alias("part"), F.lit(2).alias("role"), F.lit(None).cast("long").alias("main"))
+    else:
+        heads = live.join(big, "key").groupBy("key", "root", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "size").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"))
+        heads = heads.select("key", "main", F.ceil(F.col("size") / MOST).alias("parts"), ((F.col("size") - F.col("n_main")) * F.ceil(F.col("size") / MOST) <= 4 * F.col("size")).alias("few"))
+        rows = rows.join(heads, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64("sid"), F.col("parts"))
+        # in the first turns members meet their own part; then those outside the largest component visit all parts
+        visits = F.col("main").isNotNull() & (F.col("root") != F.col("main")) & (F.col("few") | F.lit(turn > 3))
+        index = rows.select("key", "sid", "root", own.alias("part"), F.when(F.col("parts") == 1, 2).when(visits, 0).when(F.col("few") | F.lit(turn > 3), 0).otherwise(3).alias("role"), "main")
+        guests = rows.filter((F.col("parts") > 1) & visits).select("key", "sid", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.lit(1).alias("role"), "main")
+        rows = index.unionByName(guests)
+    rows = rows.join(marks, "sid")
+    if tried is None:
+        rows = rows.withColumn("tried", F.array().cast("array<long>"))
+    else:
+        each = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("sid")).agg(F.collect_list("b").alias("tried"))
+        rows = rows.join(each, "sid", "left")
+    rows = rows.select("key", "part", "role", "sid", "root", "n", "main", "sketch", "tried").repartition("key", "part").sortWithinPartitions("key", "part", "sid")
+
+    nearest = NEAREST * GROWTH ** min(turn, 5)
 
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("sid"))).filter(F.col("_r") <= n)
-    return ranked.select("key", F.col("sid").alias("pivot"), F.col("root").alias("pivot_root"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        out: list[tuple] = []
+        for batch in batches:
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if now is not None and now != tuple(keys[a]):
+                    out += _pairs_of(now[0], held, percent, nearest)
+                    held = []
+                now = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+            if len(out) > 20_000:
+                yield _pair_batch(out)
+                out = []
+        if held:
+            out += _pairs_of(now[0], held, percent, nearest)
+        if out:
+            yield _pair_batch(out)
+
+    return rows.mapInArrow(run, "key long, a long, b long, complete boolean")
+
+
+def _pair_batch(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*pairs), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["key", "a", "b", "complete"])
+
+
+def _pairs_of(key: int, parts: list[pa.RecordBatch], percent: int, nearest: int) -> list[tuple]:
+    """The pairs that a key's members offer. Roles: 0 only visited, 1 only visiting, 2 both, 3 both in a part of a split key."""
+    rows = pa.Table.from_batches(parts)
+    role, sid, root, n = (rows.column(i).to_numpy() for i in (2, 3, 4, 5))
+    sketches = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(len(sid), BINS).astype(np.int16)
+    index = np.flatnonzero(role != 1)
+    if len(sid) <= FEW and (role == 2).all():
+        x, y = np.triu_indices(len(sid), 1)
+        keep = (root[x] != root[y]) & (np.abs(sketches[x] - sketches[y]).sum(1) <= (n[x] + n[y]) * (100 - percent) // (100 + percent))
+        return [(key, min(a, b), max(a, b), True) for a, b in zip(sid[x[keep]].tolist(), sid[y[keep]].tolist())]
+    main = rows.column(6)[0].as_py()
+    if main is None:
+        values, counts = np.unique(root, return_counts=True)
+        main = values[counts.argmax()] if counts.max() > 1 else None
+    visiting = [i for i in np.flatnonzero(role != 0) if root[i] != main]
+    by_bin = np.ascontiguousarray(sketches[index].T)
+    out = []
+    for a in range(0, len(visiting), BLOCK):
+        some = np.array(visiting[a : a + BLOCK])
+        apart = np.zeros((len(some), len(index)), np.int32)
+        for mine, bin_ in zip(sketches[some].T, by_bin):
+            apart += np.abs(mine[:, None] - bin_[None, :])
+        far = (n[some][:, None] + n[index][None, :]) * (100 - percent) // (100 + percent)
+        apart[(apart > far) | (root[some][:, None] == root[index][None, :])] = 2**30
+        for i, row in zip(some, apart):
+            done = rows.column(8)[int(i)].as_py()
+            if done:
+                row[np.isin(sid[index], done)] = 2**30
+            near = np.argsort(row, kind="stable")[:nearest]
+            near = sid[index[near[row[near] < 2**30]]]
+            own = np.full(len(near), sid[i])
+            out += zip([key] * len(near), np.minimum(own, near).tolist(), np.maximum(own, near).tolist(), [False] * len(near))
+    return out
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
