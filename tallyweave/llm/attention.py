@@ -13,7 +13,8 @@ import numpy as np
 
 CLASSES, WIDTH, WINDOW, STRIDE = 64, 16, 24, 16
 RATE = 4e-3
-BATCH = 512
+#: Windows of a training step, and of a portion that is scored at once; small ones stay in the processor's cache.
+BATCH, PORTION = 128, 128
 SHAPES = {"e": (CLASSES + 1, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "w": (WIDTH, CLASSES), "b": (CLASSES,)}
 BEGIN = CLASSES
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
@@ -56,6 +57,28 @@ def forward(p: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, t
     return z, (inputs, x, q, k, v, s, mixed, h)
 
 
+def own_log(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, skip: int) -> np.ndarray:
+    """Log probabilities of the targets at the places from skip on; what stands before is context alone."""
+    x = p["e"][inputs] + p["p"]
+    n = len(x)
+    flat = x.reshape(-1, WIDTH)
+    k, v = (flat @ p["k"]).reshape(n, WINDOW, WIDTH), (flat @ p["v"]).reshape(n, WINDOW, WIDTH)
+    x = np.ascontiguousarray(x[:, skip:])
+    s = (x.reshape(-1, WIDTH) @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(n, -1, WIDTH) @ k.transpose(0, 2, 1)
+    s += _MASK[skip:]
+    s -= s.max(-1, keepdims=True)
+    np.exp(s, out=s)
+    mixed = s @ v
+    mixed /= s.sum(-1, keepdims=True)
+    h = x.reshape(-1, WIDTH) + mixed.reshape(-1, WIDTH) @ p["o"]
+    z = h @ p["w"]
+    z += p["b"]
+    z -= z.max(-1, keepdims=True)
+    own = z[np.arange(len(z)), targets[:, skip:].reshape(-1)]
+    np.exp(z, out=z)
+    return (own - np.log(z.sum(-1))).reshape(n, -1)
+
+
 def gradient(p: dict[str, np.ndarray], kept: tuple, logp: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss over the places with weight 1."""
     inputs, x, q, k, v, s, mixed, h = kept
@@ -120,14 +143,16 @@ class Model:
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text of ids; the end is among the ids."""
         made = [windows(self.classes[t]) for t in texts]
-        counts = [len(m[0]) for m in made]
+        counts = np.array([len(m[0]) for m in made])
         inputs, targets, weight = (np.concatenate([m[i] for m in made]) for i in range(3))
+        firsts = np.cumsum(counts) - counts
+        first = np.zeros(len(inputs), bool)
+        first[firsts] = True
         sums = np.empty(len(inputs))
-        for a in range(0, len(inputs), BATCH):
-            logp, _ = forward(self.params, inputs[a : a + BATCH])
-            own = np.take_along_axis(logp, targets[a : a + BATCH, :, None].astype(np.int64), -1)[..., 0]
-            sums[a : a + BATCH] = (own * weight[a : a + BATCH]).sum(1, dtype=np.float64)
-        firsts = np.cumsum([0] + counts[:-1])
+        for which, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
+            for a in range(0, len(which), PORTION):
+                at = which[a : a + PORTION]
+                sums[at] = (own_log(self.params, inputs[at], targets[at], skip) * weight[at, skip:]).sum(1, dtype=np.float64)
         return np.add.reduceat(sums, firsts) / np.log(10) + np.array([self.shares[t].sum() for t in texts])
 
 

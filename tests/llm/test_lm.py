@@ -69,6 +69,17 @@ def test_gradient():
             assert g[k].reshape(-1)[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
+def test_scores_are_the_forward_pass():
+    rng = np.random.default_rng(3)
+    model = attention.Model(attention.initial(), rng.integers(0, attention.CLASSES, 500), rng.normal(size=500))
+    texts = [rng.integers(0, 500, n) for n in (1, 3, attention.WINDOW, attention.WINDOW + 1, 777)]
+    for got, ids in zip(model.scores(texts), texts):
+        inputs, targets, weight = attention.windows(model.classes[ids])
+        logp, _ = attention.forward(model.params, inputs)
+        own = np.take_along_axis(logp, targets[..., None], -1)[..., 0]
+        assert got == pytest.approx(own[weight].sum() / np.log(10) + model.shares[ids].sum(), rel=1e-4)
+
+
 def test_windows_score_each_token_once():
     for n in (1, 5, attention.WINDOW, attention.WINDOW + 1, 100, 1000):
         classes = np.arange(n) % attention.CLASSES
