@@ -15,7 +15,8 @@ by bin; the bins' distance never exceeds the number of differing elements, so pa
 dropped for certain). A key of few members gives all pairs that are left. In a longer one each member outside the largest component goes to
 its nearest untried members of other components, a few at first and more in each turn; linked ones merge, and rounds go on until no untried pair of two components
 is left. So no link between components is lost, a group of n near copies costs about n comparisons a round, and the components at least
-halve in a round. A key of more than MOST members is split in parts; its members outside the largest component visit each part. Comparisons are exact.
+halve in a round. A key of more than MOST members is split in parts; its members outside the largest component visit each part, and the key goes on
+until such a visit offers nothing. While these are many, members first meet in parts that are dealt anew in each turn. Comparisons are exact.
 
 Defined results:
 - null text or no words: an empty set, linked with nothing; fewer words than a shingle: one shingle, the whole sequence
@@ -248,6 +249,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     marks = written(marks, "marks")
     live, tried, links, sets = members, None, None, None
     roots = members.sparkSession.createDataFrame([], "node long, root long")
+    everywhere = False
     for turn in range(10**6):
         labelled = live.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         if turn:
@@ -255,11 +257,18 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
             labelled = written(labelled.join(mixed, "key", "left_semi"), "live")
             if labelled.isEmpty():
                 break
-        offered = written(_offered(labelled, marks.select("sid", "n", "sketch"), tried, percent, turn), "offered")
+        everywhere = everywhere or turn > 3
+        offered, waiting = _offered(labelled, marks.select("sid", "n", "sketch"), tried, percent, turn, everywhere)
+        offered = written(offered, "offered")
         fresh = offered.select("a", "b").distinct()
         fresh = written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
-            break
+            if waiting is None or waiting.isEmpty():
+                break
+            # the parts have nothing left among themselves; their links to each other are still to come
+            everywhere = True
+            live = written(labelled.select("key", "sid").join(waiting, "key", "left_semi"), "members")
+            continue
         both = fresh.select(F.col("a").alias("sid")).unionByName(fresh.select(F.col("b").alias("sid"))).distinct()
         wanted = both if sets is None else both.join(sets, "sid", "left_anti")
         more = written(_wanted_sets(rows, written(wanted.join(marks.select("sid", "id"), "sid"), "wanted"), words), "sets")
@@ -268,8 +277,10 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
         links = written(found if links is None else found.unionByName(links), "verified")
         tried = fresh if tried is None else tried.unionByName(fresh)
         roots = components(links)
-        # short keys have given all their pairs; the others go on
-        live = written(labelled.select("key", "sid").join(offered.filter("NOT complete").select("key").distinct(), "key", "left_semi"), "members")
+        # short keys have given all their pairs; the others go on, split ones at least until their members have visited all parts
+        more = offered.filter("NOT complete").select("key")
+        more = more if waiting is None else more.unionByName(waiting)
+        live = written(labelled.select("key", "sid").join(more.distinct(), "key", "left_semi"), "members")
     firsts = profile.groupBy("sid").agg(F.min("id").alias("id"))
     rooted = roots.select(F.col("node").alias("sid"), "root")
     in_root = lambda df: df.join(rooted, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -286,22 +297,24 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return _sets(texts, words).join(_small(wanted.select("sid"), n, BROADCAST_IDS), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _offered(live: DataFrame, marks: DataFrame, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
-    """live: key, sid, root. Pairs to compare: key, a, b, complete (whether the key has no others)."""
+def _offered(live: DataFrame, marks: DataFrame, tried: DataFrame | None, percent: int, turn: int, everywhere: bool) -> tuple[DataFrame, DataFrame | None]:
+    """live: key, sid, root. Pairs to compare: key, a, b, complete (whether the key has no others); and the split keys whose members met their own part only."""
     big = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > MOST)
     # the size and largest component of the keys that are split; there are fewer than members / MOST
     big = written(big, "big")
-    rows = live
+    rows, waiting = live, None
     if big.isEmpty():
         rows = rows.select("*", F.lit(0).cast("long").alias("part"), F.lit(2).alias("role"), F.lit(None).cast("long").alias("main"))
     else:
         heads = live.join(big, "key").groupBy("key", "root", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "size").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"))
         heads = heads.select("key", "main", F.ceil(F.col("size") / MOST).alias("parts"), ((F.col("size") - F.col("n_main")) * F.ceil(F.col("size") / MOST) <= 4 * F.col("size")).alias("few"))
+        heads = written(heads.withColumn("few", F.col("few") | F.lit(everywhere)), "heads")
+        waiting = heads.filter("NOT few").select("key")
         rows = rows.join(heads, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("sid"), F.col("parts"))
+        own = F.pmod(F.xxhash64("sid", F.lit(turn)), F.col("parts"))
         # in the first turns members meet their own part; then those outside the largest component visit all parts
-        visits = F.col("main").isNotNull() & (F.col("root") != F.col("main")) & (F.col("few") | F.lit(turn > 3))
-        index = rows.select("key", "sid", "root", own.alias("part"), F.when(F.col("parts") == 1, 2).when(visits, 0).when(F.col("few") | F.lit(turn > 3), 0).otherwise(3).alias("role"), "main")
+        visits = F.col("main").isNotNull() & (F.col("root") != F.col("main")) & F.col("few")
+        index = rows.select("key", "sid", "root", own.alias("part"), F.when(F.col("parts") == 1, 2).when(visits, 0).when(F.col("few"), 0).otherwise(3).alias("role"), "main")
         guests = rows.filter((F.col("parts") > 1) & visits).select("key", "sid", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.lit(1).alias("role"), "main")
         rows = index.unionByName(guests)
     rows = rows.join(marks, "sid")
@@ -337,7 +350,7 @@ def _offered(live: DataFrame, marks: DataFrame, tried: DataFrame | None, percent
         if out:
             yield _pair_batch(out)
 
-    return rows.mapInArrow(run, "key long, a long, b long, complete boolean")
+    return rows.mapInArrow(run, "key long, a long, b long, complete boolean"), waiting
 
 
 def _pair_batch(pairs: list[tuple]) -> pa.RecordBatch:
@@ -372,7 +385,7 @@ def _pairs_of(key: int, parts: list[pa.RecordBatch], percent: int, nearest: int)
             done = rows.column(8)[int(i)].as_py()
             if done:
                 row[np.isin(sid[index], done)] = 2**30
-            near = np.argsort(row, kind="stable")[:nearest]
+            near = np.argsort(row, kind="stable")[: NEAREST if role[i] == 3 else nearest]
             near = sid[index[near[row[near] < 2**30]]]
             own = np.full(len(near), sid[i])
             out += zip([key] * len(near), np.minimum(own, near).tolist(), np.maximum(own, near).tolist(), [False] * len(near))

@@ -85,6 +85,15 @@ def test_large_group_of_near_copies(spark):
     assert sorted(map(tuple, got)) == brute(rows, 3, 90)
 
 
+def test_group_over_many_parts(spark, monkeypatch):
+    """A key's parts each merge into one component before any two of them have met."""
+    monkeypatch.setattr(jaccard, "MOST", 33)
+    text = [f"w{i}" for i in range(250)]
+    rows = [(i, " ".join([*text, f"x{i}"])) for i in range(400)]
+    got = jaccard.linked(frame(spark, rows), 3, 99).collect()
+    assert {(r.n_shingles, r.component_id) for r in got} == {(249, 0)} and len(got) == 400
+
+
 def test_query(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = queries.QUERIES["op6_jaccard"](spark, small)
