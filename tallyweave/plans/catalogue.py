@@ -184,7 +184,7 @@ TOPICS = ("education", "health", "energy", "transport", "tourism")
 def _roles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents as agenda items, benchmark items as promises."""
     topic = lambda c: F.element_at(F.array(*[F.lit(x) for x in TOPICS]), (F.col(c) % 5 + 1).cast("int"))
-    a = t(spark, d, "documents").filter("length(text) < 1200").select(F.col("doc_id").cast("string").alias("agenda_item_id"), F.col("text").alias("title"), topic("doc_id").alias("category"), F.col("source").alias("responsible_entity"), F.col("lang").alias("timeline"))
+    a = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("agenda_item_id"), F.col("text").alias("title"), topic("doc_id").alias("category"), F.col("source").alias("responsible_entity"), F.col("lang").alias("timeline"))
     p = t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("political_promise_id"), F.col("text").alias("title"), topic("item_id").alias("category"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("responsible_entity"), F.lit("en").alias("timeline"))
     return a, p
 
