@@ -109,7 +109,7 @@ WITH n AS (SELECT doc_id, sha256(lower(trim(regexp_replace(coalesce(source, ''),
 SELECT fingerprint, max(doc_id) AS doc_id FROM n GROUP BY fingerprint
 """)
 def fingerprints_dedup(spark, d):
-    rows = t(spark, d, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]")).select("doc_id", ids.project_fingerprint(F.col("source"), F.col("text")).alias("fingerprint"))
+    rows = t(spark, d, "documents").select("doc_id", ids.project_fingerprint(F.col("source"), F.col("text")).alias("fingerprint"))
     return graph.latest(rows, ["fingerprint"], ["doc_id"])
 
 
@@ -125,7 +125,7 @@ def budget_hash_check(spark, d):
 
 @query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS digest FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7F]')")
 def norm_text(spark, d):
-    return t(spark, d, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]")).select("doc_id", F.sha2(text.normal(F.col("text")), 256).alias("digest"))
+    return t(spark, d, "documents").select("doc_id", F.sha2(text.normal(F.col("text")), 256).alias("digest"))
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace('(cid:' || p_size || ')  ' || p_name || ' (cid:1)', '\(cid:\d+\)', '', 'g'), '\s+', ' ', 'g')) AS title FROM part")
