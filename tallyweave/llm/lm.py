@@ -3,8 +3,8 @@
 Passes: (1) texts are tokenised once: words as places in a dictionary of their chunk, subwords by a public byte-level BPE file. A chunk is
 a stretch of a partition; its dictionary goes out once per chunk, with counts of the training documents, so a word that stands in every document
 costs a row per chunk. What was tokenised is written to the shared folder. (2) Word counts are summed over chunks and each chunk gets its words'
-totals back. (3) Subword counts of all training documents set the classes. (4) Every training document gives the windows that its
-hash picks, one of TRAIN_EACH; each task trains from the common start, and the parameters are averaged by windows seen. (5) Each text is scored whole
+totals back. (3) Subword counts of all training documents set the classes. (4) Every training document gives
+all its windows; each task trains from the common start, and the parameters are averaged by windows seen. (5) Each text is scored whole
 in overlapping windows, each token once.
 
 Documents whose crc32 of the identifier as text leaves HELD modulo FOLDS are held out: no count or window comes from them.
@@ -34,7 +34,6 @@ FOLDS, HELD = 5, 1
 CHUNK_CHARS = 24_000_000
 PART_CHARS = 2_000_000
 PART_WORDS = 50_000
-TRAIN_EACH = 16
 END_WORD = np.uint64(0x5BD1E995)
 _ROW = "chunk long, place long, id long, held boolean, n long, words binary, subwords binary, hashes binary, counts binary, start long"
 _NAMES = ("chunk", "place", "id", "held", "n", "words", "subwords", "hashes", "counts", "start")
@@ -141,11 +140,8 @@ def _trained(tokens: DataFrame, classes: np.ndarray) -> dict[str, np.ndarray]:
             for x in batch.column(0):
                 ids = np.frombuffer(x.as_buffer(), np.uint16)
                 inputs, targets, weight = attention.windows(classes[ids])
-                first = int(ids.sum()) % TRAIN_EACH
-                if first >= len(inputs):  # a short text's only windows: taken as seldom as others
-                    continue
-                held.append((inputs[first::TRAIN_EACH], targets[first::TRAIN_EACH], weight[first::TRAIN_EACH].astype(np.float32)))
-                n += len(held[-1][0])
+                held.append((inputs, targets, weight.astype(np.float32)))
+                n += len(inputs)
                 if n >= attention.BATCH:
                     learn()
                     n = 0

@@ -44,6 +44,20 @@ def test_edges(spark):
     assert lm.scored(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [3, 400])
+def test_trains_on_all_windows(spark, n):
+    classes = np.arange(500) % attention.CLASSES
+    ids = np.arange(1, n + 1, dtype=np.uint16)
+    rows = spark.createDataFrame([(False, bytearray(ids.tobytes()))], "held boolean, subwords binary").coalesce(1)
+    trainer = attention.Trainer(attention.initial())
+    made = attention.windows(classes[ids])
+    for a in range(0, len(made[0]), attention.BATCH):
+        trainer.step(*(m[a : a + attention.BATCH] for m in (made[0], made[1], made[2].astype(np.float32))))
+    assert trainer.windows == len(made[0])
+    got = attention.pack(lm._trained(rows, classes))
+    assert np.allclose(got, attention.pack(trainer.p), atol=1e-5) and not np.allclose(got, attention.pack(attention.initial()), atol=1e-5)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in attention.initial().items()}
