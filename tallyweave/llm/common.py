@@ -28,16 +28,18 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
+    """The folder that the cluster names for checkpoints. One of our own only where none is named and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if made.isEmpty():
-        own = tempfile.mkdtemp(prefix="tallyweave-")
-        spark.sparkContext.setCheckpointDir(own)
-        return own
-    return made.get()
+    if not made.isEmpty():
+        return made.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="tallyweave-")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +47,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a table that is broadcast, and hot keys at most.
+BROADCAST_ROWS, HOT_KEYS = 50_000, 10_000
+
+
+def spread_join(big: DataFrame, unique: DataFrame, on: list[str]) -> DataFrame:
+    """big left join unique, which holds a key once at most and is a written table. Keys of many rows don't land in one task: their rows of unique,
+    no more than HOT_KEYS, are broadcast. The others are shuffled."""
+    if unique.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(unique), on, "left")
+    sizes = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_size"))
+    # a key with more than a HOT_KEYS-th of all rows is hot, so there are fewer than HOT_KEYS
+    limit = max(2000, big.count() // HOT_KEYS)
+    hot = written(sizes.filter(F.col("_size") > limit).select(*on), "hot")
+    if hot.isEmpty():
+        return big.join(unique, on, "left")
+    few = written(unique.join(F.broadcast(hot), on, "left_semi"), "hot_rows")
+    cold = big.join(F.broadcast(hot), on, "left_anti").join(unique, on, "left")
+    return cold.unionByName(big.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, "left"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -119,15 +119,90 @@ def test_sizes_cover_all_partners():
         sizes = jaccard.Sizes(percent)
         for a in range(1, 400):
             for b in range(a, a * 100 // percent + 1):
-                assert sizes.class_of(b) - sizes.class_of(a) in (0, 1)
-                f = sizes.class_of(a)
                 least = -(-percent * (a + b) // (100 + percent))
-                m, q = sizes.parts(f)
-                assert m - (a + b - 2 * least) > 2 * q
+                # the first common shingle leaves the others behind it
+                assert a - least < sizes.own_prefix(a) or least > a
+                assert b - least < sizes.prefix(b)
                 if b < 60:
                     assert a - least <= sizes.left_out(a) and b - least <= sizes.left_out(b)
 
 
+@pytest.mark.parametrize("seed,held,most", [(11, 1, 8192), (12, 4, 16), (13, 4096, 16)])
+def test_long_lists(spark, monkeypatch, seed, held, most):
+    """Lists that pass through, that are dealt out by salt and that are split in parts give the same."""
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "MOST", most)
+    rows = made(seed, 80)
+    r = random.Random(seed)
+    text = [f"w{i}" for i in range(60)]
+    rows += [(10_000 + i, " ".join([*text[: (k := r.randrange(58))], f"x{i}", *text[k + 1 :]])) for i in range(90)]
+    got = jaccard.linked(frame(spark, rows).repartition(4), 3, 90).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 3, 90)
+
+
+def test_null_and_repeated_identifiers(spark):
+    text = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join([*text, "x"])), (5, " ".join(text)), (None, "quite another text of words"), (7, " ".join(["y", *text])), (7, "a b c d e f g h"), (8, None), (None, None)]
+    got = jaccard.linked(frame(spark, rows), 3, 90).collect()
+    order = lambda x: [(v is None, v) for v in x]
+    exp = [(None, 99, 5), (5, 98, 5), (None, 3, None), (7, 99, 5), (7, 6, 7), (8, 0, 8), (None, 0, None)]
+    assert sorted(map(tuple, got), key=order) == sorted(exp, key=order)
+    kept = jaccard.representatives(frame(spark, rows), 3, 90).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=order) == sorted(((d, t) for d, t in rows if (d, t) not in (rows[0], rows[3])), key=order)
+
+
+def test_representatives_by_row(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(2, base), (4, base + " fourteen"), (4, "nothing of the kind is in this text"), (9, "t u v w x y z"), (9, "t u v w x y z"), (10, " "), (10, " ")]
+    kept = jaccard.representatives(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0], rows[2], rows[3], rows[5], rows[6]])
+    assert jaccard.representatives(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_very_long_text(spark):
+    r = random.Random(3)
+    text = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(text)), (2, " ".join(text[:-200])), (3, " ".join(text[::-1]))]
+    got = jaccard.linked(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_links(spark, monkeypatch, seed):
+    """Chains, a star, nulls, repeated and turned edges; small bounds make spread_join take all its ways."""
+    from tallyweave.llm import common, components
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    r = random.Random(seed)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(30)] + [(100 + i, 101 + i) for i in range(20)] + [(200, 201 + i) for i in range(40)] + [(201, 200), (7, 7), (None, 3), (3, None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    exp = sorted((x, find(x)) for x in root)
+    got = components.components(spark.createDataFrame([(a, b, "x") for a, b in edges], "a long, b long, node string"))
+    known = sorted(map(tuple, got.collect()))
+    assert [x for x in known if x[0] != x[1]] == [x for x in exp if x[0] != x[1]]
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_spread_join(spark, monkeypatch):
+    from tallyweave.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    big = spark.range(9000).selectExpr("if(id < 6000, 7, id) k", "id v")
+    unique = spark.range(0, 9000, 2).selectExpr("id + 1 k", "id w")
+    got = common.spread_join(big, unique, ["k"])
+    assert sorted(map(tuple, got.select("k", "v", "w").collect()), key=str) == sorted(map(tuple, big.join(unique, "k", "left").select("k", "v", "w").collect()), key=str)
+
+
 def test_subset_keys():
     s = np.arange(1, 13, dtype=np.uint64)
     keys = np.concatenate(jaccard.subset_keys(s, 2))
