@@ -117,9 +117,29 @@ def numbered_lines(response: Column, originals: Column) -> Column:
     return F.transform(originals, lambda o, i: F.coalesce(F.when(F.get(texts, i) != "", F.get(texts, i)), o))
 
 
-def strip_fences(text: Column) -> Column:
-    """Without a Markdown fence around it."""
-    return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```(?:json)?", ""), r"```$", ""))
+def strip_fences(text: Column, how: str = "ends") -> Column:
+    """Without a Markdown fence: around it ("ends"), wherever one stands ("all"), or without any backtick ("ticks")."""
+    t = F.coalesce(text, F.lit(""))
+    if how == "all":
+        return strip(F.regexp_replace(t, r"```json|```", ""))
+    if how == "ticks":
+        return strip(F.regexp_replace(t, r"`json|`", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(t), r"^(?:```json)?(?:```)?", ""), r"```$", ""))
+
+
+def payload_text(column: Column, kind: str = "string") -> Column:
+    """The text of a value: a string that is JSON counts by its values in document order, keys left out, zero, false and null as well; another string
+    as it is; structs, maps and arrays by their values. Parts are parted by a space, white space collapsed."""
+    json = F.coalesce(strip(column), F.lit("")) if kind == "string" else F.coalesce(F.to_json(column), F.lit(""))
+    # strings are taken whole, so what follows one tells a key from a value
+    parts = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]++|\\.)*+"(?:\s*:)?|[^\s\[\]{},:"]+'), F.lit(0))
+    values = F.filter(parts, lambda p: ~p.rlike(r'^"(?s:.*)"\s*:$') & ~p.isin("null", "false", "0", "0.0", "-0"))
+    texts = F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>")
+    cleaned = F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda x: collapse(F.when(x == "true", "True").otherwise(x))), lambda x: x != "")
+    joined = F.array_join(cleaned, " ")
+    if kind != "string":
+        return joined
+    return F.when(F.try_parse_json(json).isNotNull(), joined).otherwise(collapse(json))
 
 
 def valid_email(text: Column) -> Column:

@@ -145,7 +145,7 @@ def backfill_links(links: DataFrame, existing: DataFrame) -> tuple[DataFrame, Da
     return missing, count(missing, "created").join(count(had, "existing"), "rel_type", "full").na.fill(0)
 
 
-def publishable(reviews: DataFrame) -> Column:
+def publishable(reviews: DataFrame | None = None) -> Column:
     """Whether an item's payload may be published: provenance alone may not, a promise needs its evidence; an approved alignment has no floor."""
     v = lambda path: F.coalesce(F.get_json_object("proposed_payload", path), F.lit(""))
     provenance = (F.col("entity_type") == "ManifestoDocument") & (v("$.source_subtype") == "scanned_manifesto_pdf")

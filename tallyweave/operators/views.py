@@ -22,19 +22,61 @@ def few(rows: DataFrame, value: str, name: str, most: int = MOST) -> DataFrame:
     return ranked.groupBy("id").agg(F.sort_array(F.collect_list(value)).alias(name))
 
 
-def links_of(edges: DataFrame, promises: DataFrame, most: int = MOST) -> DataFrame:
-    """id and its promise links as structs, without empty ones."""
-    e = edges.filter(F.col("rel_type") == "ALIGNS_WITH_AGENDA_ITEM").select(F.col("dst_id").alias("id"), F.col("src_id").alias("promise_id"))
-    x = e.join(promises.select(F.col("id").alias("promise_id"), F.col("props")["title"].alias("title"), F.col("props")["category"].alias("category")), "promise_id")
-    x = x.filter("promise_id <> ''").withColumn("link", F.struct("promise_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("category", F.lit("")).alias("category")))
-    return few(x, "link", "promise_links", most)
+#: A promise link's fields, in this order; all but the page are text.
+LINK = ("promise_id", "promise_title", "relation_type", "assessment_id", "document_id", "document_name", "source_reference", "source_page", "source_excerpt")
+
+
+def prop(props: str, *names: str, default: str | None = "") -> Column:
+    """The first of these properties that a node or an edge has."""
+    found = [F.element_at(props, F.lit(n)) for n in names]
+    return F.coalesce(*found, *([] if default is None else [F.lit(default)]))
+
+
+def normal_links(links: Column) -> Column:
+    """Links with text trimmed and null as empty; those with neither identifier nor title go."""
+    text = lambda x, c: F.trim(F.coalesce(x[c], F.lit("")))
+    clean = F.transform(F.coalesce(links, F.array().cast(f"array<struct<{', '.join(f'{c}:string' for c in LINK)}>>")), lambda x: F.struct(*[(x[c] if c == "source_page" else text(x, c)).alias(c) for c in LINK]))
+    return F.filter(clean, lambda x: (x["promise_id"] != "") | (x["promise_title"] != ""))
+
+
+def links_of(edges: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """id and its first promise links: of each aligned promise with each document that it is promised in."""
+    e = edges.filter((F.col("rel_type") == "ALIGNS_WITH_AGENDA_ITEM") & (F.col("src_type") == "PoliticalPromise")).select(F.col("dst_id").alias("id"), F.col("src_id").alias("promise"), F.col("props").alias("link"))
+    promises = nodes.filter(F.col("label") == "PoliticalPromise").select(F.col("id").alias("promise"), F.col("props").alias("p"))
+    promised = edges.filter((F.col("rel_type") == "PROMISED_IN") & (F.col("src_type") == "PoliticalPromise") & (F.col("dst_type") == "ManifestoDocument")).select(F.col("src_id").alias("promise"), F.col("dst_id").alias("document"), F.col("props").alias("pd"))
+    documents = nodes.filter(F.col("label") == "ManifestoDocument").select(F.col("id").alias("document"), F.col("props").alias("d"))
+    x = e.join(promises, "promise").join(promised.join(documents, "document"), "promise", "left")
+    link = F.struct(
+        F.coalesce("promise", F.lit("")).alias("promise_id"),
+        prop("p", "title").alias("promise_title"),
+        F.coalesce(prop("link", "relationType", "relation_type", default=None), F.lit("ALIGNS_WITH_AGENDA_ITEM")).alias("relation_type"),
+        prop("link", "alignmentAssessmentId", "alignment_assessment_id").alias("assessment_id"),
+        F.coalesce("document", F.lit("")).alias("document_id"),
+        prop("d", "name", "title").alias("document_name"),
+        F.coalesce(prop("d", "source_reference", default=None), prop("p", "source_reference")).alias("source_reference"),
+        F.coalesce(prop("pd", "source_page", default=None), prop("p", "source_page", default=None)).alias("source_page"),
+        F.coalesce(prop("pd", "source_excerpt", default=None), prop("p", "source_excerpt")).alias("source_excerpt"),
+    )
+    return few(x.select("id", link.alias("link")), "link", "promise_links", most)
+
+
+def relation_types(edges: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """id and the relation types of its first assessments, by the assessments' identifiers."""
+    e = edges.filter(F.col("rel_type") == "ASSESSES_AGENDA_ITEM").select(F.col("dst_id").alias("id"), F.col("src_id").alias("other")).distinct()
+    types = nodes.filter(F.col("label") == "AlignmentAssessment").select(F.col("id").alias("other"), prop("props", "relationType", "relation_type", default=None).alias("type")).filter("type IS NOT NULL")
+    x = e.join(types, "other").select("id", F.struct("other", "type").alias("t"))
+    return few(x, "t", "t", most).select("id", F.transform("t", lambda t: t["type"]).alias("relation_types"))
 
 
 def graph_status(nodes: DataFrame, edges: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """A row per agenda item: counts of plans, evidence, targets and links, and its first promise links; in the order asked for, else by id as text."""
-    a = nodes.filter(F.col("label") == "AgendaItem").select("id", F.coalesce(F.col("props")["title"], F.lit("")).alias("title"), F.coalesce(F.col("props")["category"], F.lit("")).alias("category"))
+    """A row per agenda item with a source identifier: its state, counts of plans, evidence, targets, assessments and links, and its first promise links;
+    in the order asked for, else by that identifier as text."""
+    a = nodes.filter(F.col("label") == "AgendaItem").select(
+        F.trim(prop("props", "sourceItemId", "source_item_id")).alias("agenda_id"), "id", prop("props", "title").alias("title"), prop("props", "updatedAt", "updated_at", default=None).alias("updated_at"),
+        F.coalesce(prop("props", "active", default=None) != "false", F.lit(True)).alias("active"), prop("props", "priority").alias("priority"), prop("props", "timeline").alias("timeline"),
+    ).filter("agenda_id <> ''")
     if ids:
-        a = a.filter(F.col("id").isin(*ids))
+        a = a.filter(F.col("agenda_id").isin(*ids))
     out = a
     for rel, name, incoming in (
         ("HAS_SOLUTION_PLAN", "solution_plans", False),
@@ -45,10 +87,28 @@ def graph_status(nodes: DataFrame, edges: DataFrame, ids: list[str] | None = Non
         ("ALIGNS_WITH_AGENDA_ITEM", "direct_links", True),
     ):
         out = out.join(counted(edges, rel, name, incoming), "id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
-    promises = nodes.filter(F.col("label") == "PoliticalPromise")
-    out = out.join(links_of(edges, promises), "id", "left").withColumn("promise_links", F.coalesce("promise_links", F.array().cast("array<struct<promise_id:string,title:string,category:string>>")))
+    out = out.join(relation_types(edges, nodes), "id", "left").withColumn("relation_types", F.coalesce("relation_types", F.array().cast("array<string>")))
+    out = out.join(links_of(edges, nodes), "id", "left").withColumn("promise_links", normal_links(F.col("promise_links")))
     out = out.withColumn("direct_links", F.when(F.col("direct_links") == 0, F.size("promise_links").cast("long")).otherwise(F.col("direct_links")))
-    return out.orderBy(F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("id")), "id") if ids else out.orderBy("id")
+    return out.orderBy(F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("agenda_id")), "agenda_id") if ids else out.orderBy("agenda_id")
+
+
+#: Bands of a queue item's confidence.
+BANDS = {"high": (0.85, None), "medium": (0.60, 0.85), "low": (None, 0.60)}
+
+
+def in_band(score: Column, band: str) -> Column:
+    """Whether a confidence is in a band; any is, where the band is none of these."""
+    least, below = BANDS.get(band, (None, None))
+    out = F.lit(True)
+    out = out if least is None else out & (score >= least)
+    return out if below is None else out & (score < below)
+
+
+def dashboard(reviews: DataFrame, status: str = "", band: str = "", text: str = "") -> DataFrame:
+    """The queue as a reviewer filters it: by status, band of confidence, and text in key or fingerprint."""
+    rows = search(reviews, text, "record_key", "fingerprint", **({"status": status} if status else {}))
+    return rows.filter(in_band(F.col("confidence"), band))
 
 
 def search(rows: DataFrame, text: str, *columns: str, **equal: str) -> DataFrame:

@@ -103,9 +103,16 @@ def stable_ids(spark, d):
     return t(spark, d, "part").select("p_partkey", ids.stable_id("part", F.col("p_brand"), F.col("p_type"), ids.falsy_empty(F.col("p_partkey") % 10)).alias("id"))
 
 
-@query(r"""
-WITH n AS (SELECT doc_id, sha256(lower(trim(regexp_replace(coalesce(source, ''), '\s+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS fingerprint
-  FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7F]'))
+#: White space in the Unicode sense, as a class of DuckDB's expressions.
+_WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _normal_sql(expr: str) -> str:
+    return f"lower(trim(regexp_replace(coalesce({expr}, ''), '{_WHITE}', ' ', 'g')))"
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, sha256({_normal_sql('source')} || '|' || {_normal_sql('text')}) AS fingerprint FROM documents)
 SELECT fingerprint, max(doc_id) AS doc_id FROM n GROUP BY fingerprint
 """)
 def fingerprints_dedup(spark, d):
@@ -123,7 +130,7 @@ def budget_hash_check(spark, d):
     return x.select("o_orderkey", "stored", (ids.budget_hash(F.col("o_orderkey"), F.col("o_custkey")) == F.col("stored")).alias("verified"))
 
 
-@query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS digest FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7F]')")
+@query(f"SELECT doc_id, sha256({_normal_sql('text')}) AS digest FROM documents")
 def norm_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2(text.normal(F.col("text")), 256).alias("digest"))
 
@@ -158,71 +165,103 @@ def tokens_distinct(spark, d):
     return t(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(words), " ").alias("words"), F.size(text.signals(words)).cast("long").alias("n_signals"))
 
 
-_FEW_ITEMS = 2_000
-
-
 @query(f"""
 WITH d AS (SELECT doc_id, {_tokens_sql('text')} AS a FROM documents), b AS (SELECT item_id, {_tokens_sql('text')} AS p FROM benchmark),
 x AS (SELECT doc_id, item_id, len(list_intersect(a, p)) AS shared, len(a) + len(p) - len(list_intersect(a, p)) AS all_ FROM d, b WHERE len(a) > 0 AND len(p) > 0)
 SELECT doc_id, item_id, shared::BIGINT AS shared, all_::BIGINT AS united FROM x WHERE shared > 0 ORDER BY shared / all_::DOUBLE DESC, doc_id, item_id LIMIT 100
 """)
 def token_jaccard_topk(spark, d):
-    """The 100 pairs of a document and an item that are most alike; candidates share a token, counted by an equi-join with the items' tokens."""
-    docs = t(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("a"))
-    items = t(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("p"))
-    words = items.select("item_id", F.size("p").alias("np"), F.explode("p").alias("w"))
-    if items.limit(_FEW_ITEMS + 1).count() <= _FEW_ITEMS:
-        words = F.broadcast(words)
-    pairs = docs.select("doc_id", F.size("a").alias("na"), F.explode("a").alias("w")).join(words, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("np").alias("np"))
-    pairs = pairs.withColumn("united", (F.col("na") + F.col("np") - F.col("shared")).cast("long"))
-    return pairs.orderBy((F.col("shared") / F.col("united")).desc(), "doc_id", "item_id").limit(100).select("doc_id", "item_id", "shared", "united")
+    """The 100 pairs of a document and an item that are most alike."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("a"), text.tokens(F.col("text")).alias("words"))
+    items = t(spark, d, "benchmark").select(F.col("item_id").alias("b"), text.tokens(F.col("text")).alias("words"))
+    return align.overlap_topk(docs, items, 100).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "shared", "united")
 
 
 TOPICS = ("education", "health", "energy", "transport", "tourism")
 
 
-def _roles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as agenda items, benchmark items as promises."""
+def _roles(spark: SparkSession, d: str, fields: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents as agenda items, benchmark items as promises. fields: with a solution in JSON and a legal foundation."""
     topic = lambda c: F.element_at(F.array(*[F.lit(x) for x in TOPICS]), (F.col(c) % 5 + 1).cast("int"))
-    a = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("agenda_item_id"), F.col("text").alias("title"), topic("doc_id").alias("category"), F.col("source").alias("responsible_entity"), F.col("lang").alias("timeline"))
+    a = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("agenda_item_id"), F.col("text").alias("title"), topic("doc_id").alias("category"), F.col("source").alias("responsible_entity"), F.col("lang").alias("timeline"), "doc_id", "text")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")
+    if fields:
+        a = a.withColumns({"solution": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"short": ["one", "'), plain, F.lit('"], "teacher": 1}'))).otherwise(""), "legal_foundation": F.when(F.col("doc_id") % 2 == 0, plain).otherwise("")})
+    a = a.drop("doc_id", "text")
     p = t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("political_promise_id"), F.col("text").alias("title"), topic("item_id").alias("category"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("responsible_entity"), F.lit("en").alias("timeline"))
     return a, p
 
 
 _TOPIC_SQL = "['education', 'health', 'energy', 'transport', 'tourism']"
-_ALIGN = f"""
-WITH a AS (SELECT doc_id::VARCHAR AS a_id, {_TOPIC_SQL}[doc_id % 5 + 1] AS a_key, {_tokens_sql('text')} AS aw, lower(source) AS a_resp, lower(lang) AS a_time FROM documents WHERE length(text) < 1200),
+
+
+def _contribution_sql(words: str, most: float, cap: int) -> str:
+    shared = f"len(list_intersect({words}, sp))"
+    j = f"CASE WHEN len({words}) = 0 OR len(sp) = 0 THEN 0 ELSE {shared} / (len({words}) + len(sp) - {shared})::DOUBLE END"
+    weight = f"greatest({j}, least(1.0, {shared} / {cap}::DOUBLE) * 0.18::DOUBLE)"
+    return f"CASE WHEN {weight} > 0 THEN round_even(least({most}::DOUBLE, {weight} * ({most}::DOUBLE / 0.18::DOUBLE)), 3) ELSE 0.0 END::DOUBLE"
+
+
+def _align_sql(select: str, fields: bool = False, least: float = 0.40) -> str:
+    plain = "regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')"
+    sol = _tokens_sql(f"CASE WHEN doc_id % 3 = 0 THEN 'one ' || {plain} || ' 1' ELSE '' END") if fields else "[]::VARCHAR[]"
+    legal = _tokens_sql(f"CASE WHEN doc_id % 2 = 0 THEN {plain} ELSE '' END") if fields else "[]::VARCHAR[]"
+    own = lambda x: f"list_filter({x}, lambda w: w NOT IN ({_WEAK}))"
+    few = lambda x, n: f"list_sort({x})[1:{n}]"
+    return f"""
+WITH a AS (SELECT doc_id::VARCHAR AS a_id, {_TOPIC_SQL}[doc_id % 5 + 1] AS a_key, {_tokens_sql('text')} AS aw, {own(sol)} AS f1, {own(legal)} AS f2, lower(source) AS a_resp, lower(lang) AS a_time FROM documents),
 p AS (SELECT item_id::VARCHAR AS p_id, {_TOPIC_SQL}[item_id % 5 + 1] AS p_key, {_tokens_sql('text')} AS pw, 'src' || (item_id % 20) AS p_resp FROM benchmark),
-x AS (SELECT a_id, p_id, a_key = p_key AS cat, list_intersect(aw, pw) AS sh, len(aw) AS na, len(pw) AS np,
-  list_filter(aw, lambda w: w NOT IN ({_WEAK})) AS sa, list_filter(pw, lambda w: w NOT IN ({_WEAK})) AS sp,
-  a_time = 'en' AS tm, coalesce(a_resp <> '' AND (a_resp = p_resp OR contains(a_resp, p_resp) OR contains(p_resp, a_resp)), false) AS rm FROM a, p),
-y AS (SELECT *, len(sh) AS n_sh, len(list_intersect(sa, sp)) AS n_sig FROM x),
-z AS (SELECT *, CASE WHEN na = 0 OR np = 0 THEN 0 ELSE n_sh / (na + np - n_sh)::DOUBLE END AS tj,
-  CASE WHEN len(sa) = 0 OR len(sp) = 0 THEN 0 ELSE n_sig / (len(sa) + len(sp) - n_sig)::DOUBLE END AS sj FROM y),
-g AS (SELECT * FROM z WHERE CASE WHEN cat THEN n_sig >= 2 OR sj >= 0.12 OR tm OR rm ELSE n_sh >= 3 AND n_sig >= 2 AND (sj >= 0.14 OR tm OR rm) END),
-s AS (SELECT a_id, p_id, n_sh::BIGINT AS n_shared, n_sig::BIGINT AS n_signals, cat, tm, rm,
-  least(CASE WHEN cat THEN 0.28 ELSE 0 END + least(tj, 0.16) + least(sj, 0.22) + CASE WHEN n_sig >= 2 THEN least(0.12, 0.04 * n_sig) ELSE 0 END + CASE WHEN tm THEN 0.08 ELSE 0 END + CASE WHEN rm THEN 0.08 ELSE 0 END, 0.99)::DOUBLE AS score FROM g)
-SELECT a_id AS agenda_item_id, p_id AS political_promise_id, n_shared, n_signals, cat AS category_match, tm AS time_match, rm AS resp_match FROM s WHERE round_even(score, 3) >= 0.40
+x AS (SELECT a_id, p_id, a_key, a_key = p_key AS cat, list_intersect(aw, pw) AS sh, len(aw) AS na, len(pw) AS np, {own('aw')} AS sa, {own('pw')} AS sp, f1, f2,
+  coalesce(a_time = 'en', false) AS tm, coalesce(a_resp <> '' AND (a_resp = p_resp OR contains(a_resp, p_resp) OR contains(p_resp, a_resp)), false) AS rm FROM a, p),
+y AS (SELECT *, len(sh) AS n_sh, list_intersect(sa, sp) AS sg, len(list_intersect(sa, sp)) AS n_sig, {_contribution_sql('f1', 0.08, 6)} AS d1, {_contribution_sql('f2', 0.03, 3)} AS d2 FROM x),
+z AS (SELECT *, CASE WHEN na = 0 OR np = 0 THEN 0 ELSE n_sh / (na + np - n_sh)::DOUBLE END AS tj, round_even(least(0.0::DOUBLE + d1 + d2, 0.18::DOUBLE), 3) AS deco,
+  CASE WHEN len(sa) = 0 OR len(sp) = 0 THEN 0 ELSE n_sig / (len(sa) + len(sp) - n_sig)::DOUBLE END AS sj,
+  list_sort(list_distinct(list_concat(CASE WHEN d1 > 0 THEN {few('list_intersect(f1, sp)', 6)} ELSE []::VARCHAR[] END, CASE WHEN d2 > 0 THEN {few('list_intersect(f2, sp)', 6)} ELSE []::VARCHAR[] END))) AS dt FROM y),
+u AS (SELECT *, len(list_distinct(list_concat(sg, dt))) AS total FROM z),
+g AS (SELECT * FROM u WHERE CASE WHEN cat THEN total >= 2 OR sj >= 0.12 OR deco >= 0.05 OR tm OR rm ELSE (n_sh >= 3 OR deco >= 0.07) AND (total >= 2 OR deco >= 0.05) AND (sj >= 0.14 OR deco >= 0.05 OR tm OR rm) END),
+s AS (SELECT *, round_even(least(CASE WHEN cat THEN 0.28::DOUBLE ELSE 0.0::DOUBLE END + least(tj, 0.16::DOUBLE) + least(sj, 0.22::DOUBLE) + CASE WHEN n_sig >= 2 THEN least(0.12::DOUBLE, 0.04::DOUBLE * n_sig) ELSE 0.0::DOUBLE END + deco
+  + CASE WHEN tm THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN rm THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END, 0.99::DOUBLE), 3) AS confidence FROM g),
+m AS (SELECT a_id AS agenda_item_id, p_id AS political_promise_id, CASE WHEN confidence >= 0.82 THEN 'STRONGLY_ALIGNS' ELSE 'PARTIALLY_ALIGNS' END AS relation_type, confidence,
+  left(array_to_string(list_filter([CASE WHEN cat THEN 'shared category: ' || a_key END, CASE WHEN n_sig > 0 THEN 'shared signal tokens: ' || array_to_string({few('sg', 8)}, ', ') WHEN n_sh > 0 THEN 'shared tokens: ' || array_to_string({few('sh', 8)}, ', ') END,
+    CASE WHEN len(dt) > 0 THEN 'agenda decomposition overlap: ' || array_to_string(dt[1:8], ', ') END, CASE WHEN tm THEN 'timeline hint matched' END, CASE WHEN rm THEN 'responsible entity hint matched' END], lambda t: t IS NOT NULL), '; '), 500) AS notes,
+  deco AS decomposition, n_sh::BIGINT AS n_shared, n_sig::BIGINT AS n_signals, cat AS category_match, tm AS time_match, rm AS resp_match FROM s WHERE confidence >= {least})
+{select}
 """
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
-    return align.scored(pairs).select("agenda_item_id", "political_promise_id", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_signals").cast("long").alias("n_signals"), "category_match", "time_match", "resp_match")
+_ALIGNED = ("agenda_item_id", "political_promise_id", "relation_type", "confidence", "notes", "decomposition", "n_shared", "n_signals", "category_match", "time_match", "resp_match")
+_ALIGN = _align_sql("SELECT * FROM m")
+
+
+def _aligned(matches: DataFrame) -> DataFrame:
+    return matches.withColumns({"n_shared": F.col("n_shared").cast("long"), "n_signals": F.col("n_signals").cast("long")}).select(*_ALIGNED)
 
 
 @query(_ALIGN)
 def align_candidates(spark, d):
-    return _aligned(align.all_pairs(*_roles(spark, d)))
+    return _aligned(align.candidates(*_roles(spark, d)))
 
 
 @query(_ALIGN)
 def align_blocked(spark, d):
-    return _aligned(align.blocked_pairs(*_roles(spark, d)))
+    return _aligned(align.scored(align.blocked_pairs(*_roles(spark, d))))
+
+
+@query(_align_sql("SELECT * FROM m", fields=True))
+def align_decomposed(spark, d):
+    """With decomposition fields: a solution as JSON, whose keys don't count, and a legal foundation as text."""
+    return _aligned(align.candidates(*_roles(spark, d, fields=True)))
+
 
+@query(_align_sql("SELECT agenda_item_id, political_promise_id, confidence FROM m ORDER BY confidence DESC, agenda_item_id, political_promise_id LIMIT 100"))
+def align_top(spark, d):
+    """The best hundred, one of a pair."""
+    return align.top(align.candidates(*_roles(spark, d)), 100).select("agenda_item_id", "political_promise_id", "confidence")
 
-@query(_ALIGN.replace("SELECT a_id AS agenda_item_id, p_id AS political_promise_id, n_shared, n_signals, cat AS category_match, tm AS time_match, rm AS resp_match FROM s", "SELECT CASE WHEN round_even(score, 3) >= 0.85 THEN '.85+' WHEN round_even(score, 3) >= 0.75 THEN '.75-.84' WHEN round_even(score, 3) >= 0.60 THEN '.60-.74' ELSE '.40-.59' END AS bucket, count(*) AS n FROM s").rstrip() + " GROUP BY 1")
+
+@query(_align_sql("SELECT CASE WHEN confidence >= 0.85 THEN '.85+' WHEN confidence >= 0.75 THEN '.75-.84' WHEN confidence >= 0.60 THEN '.60-.74' ELSE '.40-.59' END AS bucket, count(*) AS n FROM m GROUP BY 1"))
 def score_buckets(spark, d):
-    return align.scored(align.blocked_pairs(*_roles(spark, d))).groupBy(align.bucket(F.col("confidence")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return align.candidates(*_roles(spark, d)).groupBy(align.bucket(F.col("confidence")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""
@@ -327,11 +366,18 @@ def status_counts(spark, d):
     return review.status_counts(t(spark, d, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
-@query("SELECT 'k' AS name, sum((props::JSON->>'$.k')::DOUBLE) AS n, count(*) FILTER ((props::JSON->>'$.k')::BIGINT % 2 = 0) AS even FROM events")
+@query("""
+SELECT count(*) FILTER (event_id % 3 = 0) AS translated, count(*) FILTER (event_id % 7 = 0) AS translation_failed, count(*) FILTER (event_id % 2 = 0) AS native, count(*) FILTER (event_id % 2 = 1) AS english FROM events
+""")
+def metadata_counts(spark, d):
+    k = F.col("event_id")
+    meta = F.to_json(F.struct((k % 3 == 0).alias("translation_applied"), F.when(k % 7 == 0, "failed").otherwise("done").alias("translation_status"), F.when(k % 2 == 0, "ne").otherwise("en").alias("source_language")))
+    return review.metadata_counts(t(spark, d, "events").select(meta.alias("extra_metadata")))
+
+
+@query("SELECT 'k' AS name, sum((props::JSON->>'$.k')::DOUBLE) AS n FROM events")
 def json_meta_counts(spark, d):
-    events = t(spark, d, "events").select(F.concat(F.lit('{"m":'), "props", F.lit("}")).alias("j"))
-    even = events.agg(F.count_if(F.get_json_object("j", "$.m.k").cast("long") % 2 == 0).alias("even"))
-    return review.sums_by_key(events, "j", "$.m").crossJoin(F.broadcast(even))  # one row each
+    return review.sums_by_key(t(spark, d, "events").select(F.concat(F.lit('{"m":'), "props", F.lit("}")).alias("j")), "j", "$.m")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -357,90 +403,13 @@ def _lines(spark, d) -> DataFrame:
     return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
 
 
-@query("SELECT 'order' AS kind, o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) UNION ALL SELECT 'document', doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def chk_orphans(spark, d):
-    orders = t(spark, d, "orders").select("o_orderkey").join(_lines(spark, d), "o_orderkey", "left_anti").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"))
-    docs = t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"))
-    return orders.unionByName(docs)
-
-
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND o_orderstatus <> 'F'")
-def chk_either_edge(spark, d):
-    return t(spark, d, "orders").filter("o_orderstatus <> 'F'").select("o_orderkey").join(_lines(spark, d), "o_orderkey", "left_anti")
-
-
-@query("SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 5")
-def chk_having(spark, d):
-    return _lines(spark, d).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 5")
-
-
-@query("SELECT c_custkey, c_acctbal IS NULL AS missing FROM customer WHERE c_acctbal IS NULL OR c_acctbal <= 0")
-def chk_missing_or_nonpos(spark, d):
-    return t(spark, d, "customer").filter("c_acctbal IS NULL OR c_acctbal <= 0").select("c_custkey", F.col("c_acctbal").isNull().alias("missing"))
-
-
-@query("""
-WITH x AS (SELECT o_orderkey, o_orderstatus, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS funds FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND NOT funds THEN 'linked_without_project' WHEN o_orderstatus <> 'F' AND funds THEN 'open_with_project' ELSE 'consistent' END AS state FROM x
-""")
-def chk_linkage_states(spark, d):
-    lines = _lines(spark, d).distinct().withColumn("funds", F.lit(True))
-    x = t(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(lines, "o_orderkey", "left")
-    state = F.when((F.col("o_orderstatus") == "F") & F.col("funds").isNull(), "linked_without_project").when((F.col("o_orderstatus") != "F") & F.col("funds").isNotNull(), "open_with_project").otherwise("consistent")
-    return x.select("o_orderkey", state.alias("state"))
-
-
-@query("""
-SELECT 'orphans' AS check_name, 'warning' AS severity, count(*) AS n FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) UNION ALL
-SELECT 'either_edge', 'critical', count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL
-SELECT 'having', 'warning', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 5) UNION ALL SELECT 'nonpositive', 'critical', count(*) FROM customer WHERE c_acctbal IS NULL OR c_acctbal <= 0
-""")
-def checks_union(spark, d):
-    n = lambda df, name, severity: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), "n")
-    orphans = t(spark, d, "orders").select("o_orderkey").join(_lines(spark, d), "o_orderkey", "left_anti")
-    return n(orphans, "orphans", "warning").unionByName(n(chk_either_edge(spark, d), "either_edge", "critical")).unionByName(n(chk_having(spark, d), "having", "warning")).unionByName(n(chk_missing_or_nonpos(spark, d), "nonpositive", "critical"))
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def semi_require_existing(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(_lines(spark, d), "o_orderkey", "left_semi")
-
-
-@query("""
-WITH c AS (SELECT c_nationkey AS k, count(DISTINCT c_custkey) AS customers, array_to_string(list_sort(list(c_custkey))[1:10], ',') AS first_customers FROM customer GROUP BY 1),
-s AS (SELECT s_nationkey AS k, count(DISTINCT s_suppkey) AS suppliers FROM supplier GROUP BY 1), o AS (SELECT c_nationkey AS k, count(DISTINCT o_orderkey) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
-SELECT n_nationkey::BIGINT AS n_nationkey, n_name, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers, coalesce(orders, 0) AS orders, coalesce(first_customers, '') AS first_customers
-FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey LEFT JOIN o ON o.k = n_nationkey
-""")
-def entity_status_view(spark, d):
-    """Each side is summed by nation before the joins; the customers are ranked before they are gathered."""
-    customer = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
-    top = customer.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("c_custkey"))).filter("r <= 10").groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",").alias("first_customers"))
-    c = customer.groupBy("k").agg(F.countDistinct("c_custkey").alias("customers"))
-    s = t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.countDistinct("s_suppkey").alias("suppliers"))
-    o = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(customer, "c_custkey").groupBy("k").agg(F.countDistinct("o_orderkey").alias("orders"))
-    out = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_nationkey").alias("k"))
-    for side in (c, s, o, top):
-        out = out.join(side, "k", "left")
-    return out.drop("k").na.fill(0, ["customers", "suppliers", "orders"]).na.fill("", ["first_customers"])
-
-
-@query("WITH a AS (SELECT DISTINCT p_name FROM part), b AS (SELECT DISTINCT substr(p_name, 1, 5) AS mark FROM part WHERE p_size < 10) SELECT p_name, mark FROM a, b WHERE contains(lower(p_name), lower(mark))")
+@query("WITH a AS (SELECT DISTINCT p_type FROM part), b AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS mark FROM part) SELECT p_type, mark FROM a, b WHERE contains(lower(p_type), lower(mark)) UNION ALL SELECT p_name, q FROM (SELECT DISTINCT p_name FROM part), (SELECT DISTINCT p_name AS q FROM part) WHERE contains(lower(p_name), lower(q))")
 def theta_contains(spark, d):
+    """Types that hold a word of a part's name, and names that hold a whole name."""
     part = t(spark, d, "part")
-    return align.theta_contains(part.select("p_name").distinct(), part.filter("p_size < 10").select(F.substring("p_name", 1, 5).alias("mark")).distinct(), "p_name", "mark")
-
-
-_LABELS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-
-
-@query(" UNION ALL ".join(f"SELECT '{x}' AS label, count(*) AS n FROM {x}" for x in _LABELS))
-def node_edge_stats(spark, d):
-    out = None
-    for x in _LABELS:
-        one = t(spark, d, x).agg(F.count(F.lit(1)).alias("n")).select(F.lit(x).alias("label"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    words = align.theta_contains(part.select("p_type").distinct(), part.select(F.explode(F.split("p_name", " ")).alias("mark")).distinct(), "p_type", "mark")
+    names = align.theta_contains(part.select(F.col("p_name").alias("p_type")).distinct(), part.select(F.col("p_name").alias("mark")).distinct(), "p_type", "mark")
+    return words.unionByName(names)
 
 
 @query("""
@@ -459,19 +428,6 @@ def retry_select(spark, d):
     return review.retry(docs).select("user_id", "attempt_count", "outcome")
 
 
-@query("SELECT CASE l_returnflag WHEN 'R' THEN 'release' WHEN 'A' THEN 'transfer' ELSE 'receipt' END AS family, l_orderkey, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS idx, l_linenumber::BIGINT AS line FROM lineitem")
-def explode_families(spark, d):
-    """An order's lines as three nested families, exploded with their place."""
-    lines = t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_linenumber").cast("long").alias("line"))
-    flags = {"R": "release", "A": "transfer", "N": "receipt"}
-    nested = lines.groupBy("l_orderkey").agg(*[F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == k, F.col("line")))).alias(v) for k, v in flags.items()])
-    out = None
-    for v in flags.values():
-        one = nested.select(F.lit(v).alias("family"), "l_orderkey", F.posexplode(v).alias("at", "line")).select("family", "l_orderkey", (F.col("at") + 1).cast("long").alias("idx"), "line")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
 def set_difference(spark, d):
     return t(spark, d, "orders").select("o_orderkey").join(_lines(spark, d), "o_orderkey", "left_anti").distinct()

@@ -29,6 +29,38 @@ def pages(files: DataFrame, parse: Callable[[bytes], list[dict]]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, page_num int, text string, rows array<struct<title_ne:string,budget:string>>")
 
 
+def page_counts(files: DataFrame, count: Callable[[bytes], int]) -> DataFrame:
+    """path, n_pages: what the provider counts; 0 for a file that it cannot read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for content in batch["content"]:
+                try:
+                    out.append(int(count(bytes(content))))
+                except Exception:  # noqa: BLE001
+                    out.append(0)
+            yield pd.DataFrame({"path": batch["path"], "n_pages": out})
+
+    return files.select("path", "content").mapInPandas(run, "path string, n_pages int")
+
+
+def first_of(*providers: Callable[[str, int], list[dict]]) -> Callable[[str, int], list[dict]]:
+    """A provider that asks these in turn until one has rows; one that fails counts as having none."""
+
+    def rows_of(path: str, page: int) -> list[dict]:
+        for ask in providers:
+            try:
+                found = ask(path, page)
+            except Exception:  # noqa: BLE001
+                continue
+            if found:
+                return found
+        return []
+
+    return rows_of
+
+
 def table_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of readable pages, and the pages to be read by sight."""
     odd = garbled(F.col("text"))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave import schemas
-from tallyweave.functions.ids import amount_text, content_hash, stable_id
+from tallyweave.functions.ids import amount_text, content_hash, padded_id, stable_id
 from tallyweave.functions.routing import one_of, source_type
 from tallyweave.functions.taxonomy import classify
-from tallyweave.functions.text import strip
+from tallyweave.functions.text import strip, strip_fences
+from tallyweave.sources import binary
 
 #: The least confidence of a reviewed item, and lengths that make it whole.
 REVIEWED_FROM = 0.70
@@ -25,12 +34,64 @@ def read_agendas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_promise_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A row per CSV line with its number in the file (skipped ones count), path and hash. One task reads a file, so numbers follow the file."""
+    """A row per CSV row with its number in the file (rows without a text count, blank lines don't), path and hash. Columns go by the header, quoted fields
+    may hold line breaks and doubled quotes; a field that is missing is null. Numbers follow the file, so one task parses a file."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    lines = files.select(F.col("path").alias("source_path"), content_hash(F.col("content")).alias("source_hash"), F.posexplode(F.slice(F.split(text, r"\r?\n"), 2, 1_000_000_000)).alias("row", "line")).filter("line <> ''")
-    parsed = F.from_csv("line", F.lit(schemas.PROMISE_CSV), {"mode": "PERMISSIVE"})
-    return lines.select("source_path", "source_hash", (F.col("row") + 1).alias("row"), parsed.alias("v")).select("source_path", "source_hash", "row", "v.*")
+    names = [f.split()[0] for f in schemas.PROMISE_CSV.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, content in zip(batch["path"], batch["content"]):
+                data = bytes(content)
+                rows = csv.DictReader(io.StringIO(data.decode("utf-8-sig", "replace"), newline=""))
+                found = [(source, hashlib.sha256(data).hexdigest(), i, *(r.get(n) for n in names)) for i, r in enumerate(rows, 1)]
+                yield pd.DataFrame(found, columns=["source_path", "source_hash", "row", *names], dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, f"source_path string, source_hash string, row int, {schemas.PROMISE_CSV}")
+
+
+def read_naive_csv(spark: SparkSession, path: str, prefix: str = "PR-") -> DataFrame:
+    """The seed's reading of the same files: lines are cut at every comma, the first field is the category, the last two are deadline and responsible
+    body, and all between belongs to the promise. Blank lines don't count; the first line is the header. Defaults stand for blank fields."""
+    lines = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_path"), F.split(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""), "\n").alias("l"))
+    kept = F.filter(F.transform("l", strip), lambda x: x != "")
+    x = lines.select("source_path", F.posexplode(kept).alias("n", "line")).filter("n > 0").withColumn("f", F.split("line", ","))
+    n = F.size("f")
+    field = lambda i: strip(F.coalesce(F.get("f", i), F.lit("")))
+    middle = F.when(n > 2, strip(F.array_join(F.slice("f", 2, F.greatest(n - 3, F.lit(0))), ","))).otherwise("")
+    return x.select(
+        "source_path", padded_id(prefix, F.col("n")).alias("promise_id"), F.coalesce(_filled(field(F.lit(0))), F.lit("Governance")).alias("category"),
+        F.coalesce(_filled(middle), field(F.lit(1))).alias("title"), F.coalesce(_filled(field(n - 2)), F.lit("Unspecified")).alias("deadline"), F.coalesce(_filled(field(n - 1)), F.lit("Government")).alias("responsible_entity"),
+    )
+
+
+def seed_agendas(agendas: DataFrame) -> DataFrame:
+    """Items of agenda files as the seed takes them: those with identifier and title; category and priority have defaults."""
+    x = agendas.select("source_path", F.explode(F.coalesce("items", F.array().cast(agendas.schema["items"].dataType))).alias("i")).filter("i.id <> '' AND i.title <> ''")
+    return x.select(F.col("i.id").alias("agenda_id"), F.col("i.title").alias("title"), F.coalesce("i.description", F.lit("")).alias("description"), F.coalesce(_filled(F.col("i.priority")), F.lit("High")).alias("priority"), F.coalesce(_filled(F.col("i.category")), F.lit("General Governance")).alias("category"), F.coalesce("i.timeline", F.lit("")).alias("timeline"))
+
+
+#: The places and years that a new graph starts with.
+PROVINCES = ("Koshi Province", "Madhesh Province", "Bagmati Province", "Gandaki Province", "Lumbini Province", "Karnali Province", "Sudurpashchim Province")
+FISCAL_YEARS = ("2079/80", "2080/81", "2081/82", "2082/83")
+
+
+def seed_nodes(spark: SparkSession) -> DataFrame:
+    """Nodes of a new graph: provinces, fiscal years and the federal level."""
+    rows = [("Province", "name", p, {"id": str(i), "name": p}) for i, p in enumerate(PROVINCES, 1)]
+    rows += [("FiscalYear", "year", y, {"year": y}) for y in FISCAL_YEARS]
+    return spark.createDataFrame([*rows, ("GovernanceLevel", "name", "Federal", {"name": "Federal", "house_seats": "275"})], schemas.NODES)
+
+
+def registry(lines: DataFrame) -> DataFrame:
+    """lines: path, n, line of a Markdown list of sources. tier, section, name, status, url of each listed source; a tier's heading gives its letter."""
+    w = W.partitionBy("path").orderBy("n")
+    x = lines.withColumns({"tier": F.last(F.when(F.col("line").rlike(r"^## Tier [A-Z]"), F.regexp_extract("line", r"^## Tier ([A-Z])", 1)), True).over(w), "section": F.last(F.when(F.col("line").startswith("### "), strip(F.substring("line", 5, 10_000))), True).over(w)})
+    item = F.regexp_extract("line", r"^- \*\*(.+?):?\*\*", 1)
+    x = x.withColumn("name", F.last(F.when(item != "", item), True).over(w)).filter("tier IS NOT NULL AND name IS NOT NULL AND line NOT LIKE '#%'")
+    url = F.regexp_extract("line", r"\]\((https?://[^)]+)\)", 1)
+    status = F.regexp_extract("line", r"Status: \*\*(.+?)\*\*", 1)
+    return x.groupBy("path", "tier", "section", "name").agg(F.max(status).alias("status"), F.max(url).alias("url")).drop("path")
 
 
 def _props(**columns: Column) -> Column:
@@ -240,6 +301,78 @@ def scanned_document_records(documents: DataFrame) -> DataFrame:
     return _record(documents, "ManifestoDocument", "manifestoDocumentId", own, props, subtype="scanned_manifesto_pdf", confidence=F.when(F.coalesce("chars", F.lit(0)) == 0, 0.40).otherwise(0.55))
 
 
+#: Fixed value: the confidence of a commitment that states none.
+COMMITMENT_DEFAULT = 0.55
+COMMITMENT = "promise_text STRING, category STRING, actor STRING, timeline STRING, confidence DOUBLE"
+
+
+def manifesto_records(documents: DataFrame) -> DataFrame:
+    """documents: source_path, source_hash, owner_name and answer, what a reader of the text gave: a JSON array of commitments, or an object with items, in a
+    fence or not. A document record each, and a promise per commitment with a text of ten characters and a confidence from 0 to 1 (0.55 where there is none); numbers count all items."""
+    json_text = strip_fences(F.col("answer"))
+    items = F.when(F.startswith(json_text, F.lit("[")), F.from_json(json_text, f"array<struct<{COMMITMENT}>>")).otherwise(F.from_json(json_text, f"items array<struct<{COMMITMENT}>>")["items"])
+    owner = F.col("owner_name")
+    d = documents.withColumns({"_doc": stable_id("manifesto_document", "political_party", owner, F.col("source_hash"), "manifesto_pdf"), "_items": items})
+    document_props = _props(manifesto_document_id=F.col("_doc"), owner_type=F.lit("political_party"), owner_name=owner, language=F.lit("en"), source_reference=F.col("source_path"))
+    out = _record(d, "ManifestoDocument", "manifestoDocumentId", F.col("_doc"), document_props, subtype="manifesto_pdf")
+    x = d.withColumn("_props", document_props).select("source_path", "source_hash", "_doc", "_props", F.posexplode("_items").alias("at", "i"))
+    title = F.coalesce("i.promise_text", F.lit(""))
+    x = x.withColumn("_score", F.coalesce("i.confidence", F.lit(COMMITMENT_DEFAULT)))
+    x = x.filter((F.length(title) >= 10) & F.col("_score").between(0, 1)).withColumns({"_title": title, "_id": stable_id("political_promise", F.col("_doc"), F.col("at") + 1, title)})
+    category = classify(strip(F.coalesce("i.category", F.lit(""))), F.col("_title"), F.col("_title"))["display_name"]
+    props = _props(political_promise_id=F.col("_id"), title=F.col("_title"), summary=F.col("_title"), language=F.lit("en"), promise_scope=F.lit("national"), source_reference=F.col("source_path"), category=category, timeline=strip(F.coalesce("i.timeline", F.lit(""))), responsible_entity=strip(F.coalesce("i.actor", F.lit(""))))
+    relations = _relations(_relation("PROMISED_IN", "ManifestoDocument", "manifestoDocumentId", F.col("_doc"), F.col("_props")), _named("IN_CATEGORY", "PolicyCategory", "policy_category", "policyCategoryId", category))
+    score = F.col("_score")
+    promises = _record(x, "PoliticalPromise", "politicalPromiseId", F.col("_id"), props, relations, subtype="manifesto_pdf", confidence=F.greatest(F.lit(0.05), F.least(F.lit(0.99), score)))
+    low = x.filter(score < REVIEWED_FROM).select(F.col("_id").alias("_low")).distinct()
+    flagged = promises.join(low, F.col("record_identity") == F.col("_low"), "left")
+    flagged = flagged.withColumn("risk_flags", F.when(F.col("_low").isNull(), F.col("risk_flags")).otherwise(F.array(F.lit("low_confidence")))).drop("_low")
+    return out.unionByName(flagged)
+
+
+#: Which extractor a document's records come from; the first that holds.
+EXTRACTORS = ("budget_table", "agenda_json", "manifesto_csv", "scanned_manifesto_pdf", "manifesto_text", "none")
+
+
+def extractor(kind: Column, subtype: Column) -> Column:
+    """The extractor of a document by its source type and subtype."""
+    return (
+        F.when(kind == "lal_kitab", "budget_table")
+        .when(subtype.isin("agenda_json", "manifesto_csv", "scanned_manifesto_pdf"), subtype)
+        .when((subtype == "manifesto_pdf") | kind.isin("manifesto", "media", "citizen", "other"), "manifesto_text")
+        .otherwise("none")
+    )
+
+
+def extract(documents: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]], bundles: tuple[Callable[[DataFrame], DataFrame], ...] = ()) -> DataFrame:
+    """documents: source_type, source_subtype. Each goes to its extractor's function, one plan for all of a kind; records of reviewed bundles are added whatever
+    the kind. A scanned manifesto that has reviewed promises gives these instead of its provenance: pass ``reviewed_scanned`` for them."""
+    routed = documents.withColumn("_route", extractor(F.col("source_type"), F.col("source_subtype")))
+    out = None
+    for name in EXTRACTORS:
+        if name not in extractors:
+            continue
+        mine = routed.filter(F.col("_route") == name).drop("_route")
+        found = extractors[name](mine)
+        if name == "scanned_manifesto_pdf" and "reviewed_scanned" in extractors:
+            reviewed = extractors["reviewed_scanned"](mine)
+            found = reviewed.unionByName(found.join(reviewed.select("source_path").distinct(), "source_path", "left_anti").select(*found.columns))
+        out = found if out is None else out.unionByName(found)
+    for bundle in bundles:
+        found = bundle(documents)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def read_manifest(spark: SparkSession, text: str) -> DataFrame:
+    """source_path, source_type, source_tier, destination of a manifest: a JSON list, or an object with sources or documents, of paths or objects."""
+    found = json.loads(text)
+    if isinstance(found, dict):
+        found = found.get("sources") or found.get("documents") or []
+    rows = [(x, None, None, None) if isinstance(x, str) else tuple(x.get(k) for k in ("source_path", "source_type", "source_tier", "destination")) for x in found]
+    return manifest_rows(spark.createDataFrame(rows, "source_path string, source_type string, source_tier string, destination string"))
+
+
 def manifest_rows(entries: DataFrame) -> DataFrame:
     """source_path, source_type, source_tier, destination of a manifest: blanks and unknown choices get their defaults."""
     path = strip(F.coalesce("source_path", F.lit("")))
@@ -247,7 +380,44 @@ def manifest_rows(entries: DataFrame) -> DataFrame:
     return entries.filter(path != "").select(path.alias("source_path"), one_of(F.col("source_type"), types, source_type(path)).alias("source_type"), one_of(F.col("source_tier"), ("A", "B", "C"), "A").alias("source_tier"), one_of(F.col("destination"), ("tracker",), "tracker").alias("destination"))
 
 
+#: Titles that go to a translator at once.
+BATCH = 25
+
+
 def cached_translations(titles: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """titles with what the cache has, and the distinct ones that are missing."""
     x = titles.join(cache.select(F.col("source").alias("title_ne"), "title_en"), "title_ne", "left")
     return x, x.filter("title_en IS NULL").select("title_ne").distinct()
+
+
+def translated(missing: DataFrame, forward: Callable[[list[str]], list[str]], back: Callable[[list[str]], list[str]]) -> DataFrame:
+    """missing: title_ne. title_ne, title_en, back, confidence, flag: translated and translated back by what the cluster supplies, in batches; a title whose
+    answer is missing stands for itself. The flag tells how alike the title and its back translation are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            titles = batch["title_ne"].tolist()
+            for a in range(0, len(titles), BATCH):
+                some = titles[a : a + BATCH]
+                there = [x or t for x, t in zip([*forward(some), *[None] * len(some)], some)]
+                again = [x or "" for x, _ in zip([*back(there), *[None] * len(some)], some)]
+                yield pd.DataFrame({"title_ne": some, "title_en": there, "back": again})
+
+    x = missing.select("title_ne").mapInPandas(run, "title_ne string, title_en string, back string")
+    x = x.withColumn("confidence", F.round(binary.similarity(F.col("title_ne"), F.col("back")), 3))
+    return x.withColumn("flag", F.when(F.col("confidence") >= binary.SIMILAR_FROM, "ok").otherwise("uncertain"))
+
+
+def written_back(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache with new translations; what it has stays, and of two new ones of a title the smallest does."""
+    new = fresh.groupBy(F.col("title_ne").alias("source")).agg(F.min(F.struct("title_en", F.concat(F.lit("back:"), F.substring("back", 1, 200)).alias("category"))).alias("n")).select("source", "n.*")
+    return cache.unionByName(new.join(cache.select("source"), "source", "left_anti"), allowMissingColumns=True)
+
+
+def report(**figures: DataFrame) -> DataFrame:
+    """One row, report: a JSON object of one-row tables' values by name, as a command's last words."""
+    out = None
+    for name, df in figures.items():
+        one = df.select(F.struct("*").alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out.select(F.to_json(F.struct(*figures)).alias("report"))

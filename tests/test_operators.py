@@ -124,7 +124,7 @@ def test_links(spark):
 
 
 def test_graph_status(spark):
-    n = nodes(spark, *[("AgendaItem", "k", str(i), {"title": f"t{i}"}) for i in (1, 2, 10)], *[("PoliticalPromise", "k", f"p{i}", {"title": "x"}) for i in range(12)])
+    n = nodes(spark, *[("AgendaItem", "k", str(i), {"title": f"t{i}", "sourceItemId": str(i)}) for i in (1, 2, 10)], *[("PoliticalPromise", "k", f"p{i}", {"title": "x"}) for i in range(12)])
     e = edges(spark, ("AgendaItem", "1", "HAS_SOLUTION_PLAN", "SolutionPlan", "s1"), ("AgendaItem", "1", "HAS_SOLUTION_PLAN", "SolutionPlan", "s2"), *[("PoliticalPromise", f"p{i}", "ALIGNS_WITH_AGENDA_ITEM", "AgendaItem", "2") for i in range(12)])
     got = views.graph_status(n, e).collect()
     assert [r.id for r in got] == ["1", "10", "2"]

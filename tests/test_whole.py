@@ -1,34 +1,12 @@
-"""Queries whose SQL leaves rows out, over whole tables: against the SQL without that filter, or against Python."""
+"""Digests of texts in all scripts, against Python."""
 
 import hashlib
 
-import duckdb
 import pytest
 
 from tallyweave.plans import catalogue
 
 
-def rows_of(df):
-    columns = sorted(df.columns)
-    return columns, sorted(tuple(str(r[c]) for c in columns) for r in df.collect())
-
-
-def rows_of_sql(small, sql, *tables):
-    c = duckdb.connect()
-    for x in tables:
-        c.sql(f"CREATE VIEW {x} AS SELECT * FROM '{small}/{x}.parquet'")
-    rel = c.sql(sql)
-    columns = sorted(rel.columns)
-    at = [rel.columns.index(x) for x in columns]
-    return columns, sorted(tuple(str(r[i]) for i in at) for r in rel.fetchall())
-
-
-@pytest.mark.parametrize("name", ["align_candidates", "align_blocked", "score_buckets"])
-def test_alignment_of_long_documents(spark, small, name):
-    sql = catalogue.ORACLES[name].replace(" WHERE length(text) < 1200", "")
-    assert rows_of(catalogue.QUERIES[name](spark, small)) == rows_of_sql(small, sql, "documents", "benchmark")
-
-
 TEXTS = ["Über  ÄRGER", "über\u00a0ärger", "\u3000नेपाल\u2003सरकार ", "नेपाल सरकार", "ΟΔΟΣ", "İstanbul", "Plain  Text", "plain text", "", None]
 
 
