@@ -15,10 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that go to a Python worker at once; long texts make the default of 10,000 too many.
 ROWS_AT_ONCE = 2_000
+#: And bytes, for rows of sets and very long texts.
+BYTES_AT_ONCE = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_AT_ONCE))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,8 @@ Light sets (below the boundary) enumerate their subsets of fixed sizes: every su
 is with 0 to n - ceil(t n) elements left out. Two light sets that link have their intersection among both's subsets.
 Heavy sets are found by inverted lists of single shingles. All sets order their shingles alike, the rarest first, and enter the lists of a
 prefix only: two sets that link share a shingle among the first n - ceil(t n) + 1 of each, and it is among the first n - ceil(2t/(1+t) n) + 1 of
-the smaller one; a list without a member of the latter kind is not scanned. Sets just below the boundary have lists too, so a pair with one heavy
+the smaller one; a list without a member of the latter kind is not scanned, nor
+is a member without another one of a size that could link. Sets just below the boundary have lists too, so a pair with one heavy
 member is found there. The boundary is where the written subsets of the sizes below plus the scanned lists of the sizes above cost
 least, by the sizes in the corpus.
 The order only has to be the same for all: any order gives the same links. Frequencies come from all documents. Each task counts its
@@ -14,7 +15,7 @@ A shingle that is frequent enough to have a long list is so in many tasks. Lists
 Sets with the same contents count once throughout, by a 128-bit identifier; lists with the same members are one list. The members of a
 list stream through numpy with a sketch each (counts of elements
 by bin; the bins' distance never exceeds the number of differing elements, so pairs whose sketches differ by more than may be are
-dropped for certain). A list of few members gives all pairs that are left. In a longer one each member outside the largest component goes to
+dropped for certain). In the first turn a member of a short list goes to its nearest one, then all pairs that are left are compared. In a longer list each member outside the largest component goes to
 its nearest members of other components, a few at first and more in each turn; linked ones merge, and the list goes on until each member has
 offered all there are. So no link between components is lost, and a group of n near copies costs about n comparisons a turn. A list of more than
 MOST members is split in parts; its members outside the largest component visit each part, and the list goes on until such a visit offers
@@ -39,12 +40,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import discard, spread_join, written
+from tallyweave.llm.common import BROADCAST_ROWS, discard, spread_join, written
 from tallyweave.llm.components import components
 from tallyweave.llm.shingles import mix, shingle_sets
 
 WORDS, PERCENT = 5, 80
-PORTION = 2_000_000
+PORTION = 1_000_000
 #: A list's scan and its comparisons against the writing of a subset.
 SCAN_COST = 4
 LIGHTEST, HEAVIEST = 1, 64
@@ -54,6 +55,8 @@ FEW, NEAREST, GROWTH, MOST, BLOCK = 48, 2, 8, 8192, 128
 BROADCAST_IDS = 200_000
 #: Shingles that a task reports as frequent, and that all together give: both bound memory whatever the input; they change the order, never the links.
 REPORTED, RANKED = 1 << 16, 1 << 18
+#: Shingles that a task counts at once.
+STRETCH = 1_500_000
 #: Members of a list that a task holds at once; longer ones pass through.
 HELD = 4096
 
@@ -152,7 +155,7 @@ class Frequent:
     def add(self, elements: np.ndarray) -> None:
         self.waiting.append(elements)
         self.size += len(elements)
-        if self.size > 4_000_000:
+        if self.size > STRETCH:
             self.merge(4 * REPORTED)
 
     def merge(self, keep: int) -> None:
@@ -167,13 +170,13 @@ class Frequent:
 
 
 def _profile(rows: DataFrame, words: int) -> DataFrame:
-    """rows: id, th, text. A row per document: id, th, n, sid (identifier of its set, null when empty); and rows with the frequent shingles of each task."""
+    """rows: id, th, text. A row per document: id, th, n, sid (identifier of its set, null when empty) and sketch; and rows with the frequent shingles of each task."""
     id_type = rows.schema["id"].dataType.simpleString()
     kind = rows.select("id").limit(0).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = Frequent(), set()
-        names = ["id", "th", "n", "sid", "hashes", "counts"]
+        names = ["id", "th", "n", "sid", "sketch", "hashes", "counts"]
         for batch in batches:
             for a, b in _portions(batch, 2):
                 sets = shingle_sets(batch.column(2).slice(a, b - a).to_pylist(), words)
@@ -183,12 +186,12 @@ def _profile(rows: DataFrame, words: int) -> DataFrame:
                         seen.add(sid)
                         frequent.add(s)
                 n = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
         frequent.merge(REPORTED)
         if len(frequent.hashes):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequent.hashes.tobytes()], pa.binary()), pa.array([frequent.counts.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([frequent.hashes.tobytes()], pa.binary()), pa.array([frequent.counts.tobytes()], pa.binary())], names=names)
 
-    return rows.select("id", "th", "text").mapInArrow(run, f"id {id_type}, th long, n long, sid binary, hashes binary, counts binary")
+    return rows.select("id", "th", "text").mapInArrow(run, f"id {id_type}, th long, n long, sid binary, sketch binary, hashes binary, counts binary")
 
 
 def _ranks(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -207,14 +210,14 @@ def _ranks(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(rows: DataFrame, words: int, percent: int, boundary: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """key, salt, own (among the first of a smaller set), sid: the subsets of light sets and the list entries of the others, each set once a task."""
+    """key, salt, n (the set's size), own (among the first of a smaller set), sid: the subsets of light sets and the list entries of the others, each set once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, seen = Sizes(percent), set()
         listed = boundary * percent // 100  # partners of heavy sets reach down to here
         for batch in batches:
             for a, b in _portions(batch, 0):
-                keys, salts, own, sids, lengths = [], [], [], [], []
+                keys, salts, own, sids, lengths, counted = [], [], [], [], [], []
                 for s in shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), words):
                     if not len(s) or (sid := wide_id(s)) in seen:
                         continue
@@ -234,18 +237,19 @@ def _postings(rows: DataFrame, words: int, percent: int, boundary: int, frequent
                         own.append(np.arange(len(first)) < sizes.own_prefix(n))
                     sids.append(sid)
                     lengths.append(sum(map(len, keys[before:])))
+                    counted.append(n)
                 if not keys:
                     continue
                 wide = np.repeat(np.frombuffer(b"".join(sids), np.uint8).reshape(-1, 16), lengths, axis=0)
-                columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(own)), _blobs(wide)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "salt", "own", "sid"])
+                columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.repeat(counted, lengths)), pa.array(np.concatenate(own)), _blobs(wide)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "salt", "n", "own", "sid"])
 
-    return rows.select("text").mapInArrow(run, "key long, salt long, own boolean, sid binary")
+    return rows.select("text").mapInArrow(run, "key long, salt long, n long, own boolean, sid binary")
 
 
-def _members(postings: DataFrame) -> DataFrame:
-    """key, sid of the lists with several sets, one of which may be the smaller. Lists with the same members get the same key."""
-    rows = postings.repartition("key", "salt").sortWithinPartitions("key", "salt")
+def _members(postings: DataFrame, percent: int) -> DataFrame:
+    """key, sid of the lists with several sets of sizes that may link, one of which may be the smaller. Lists with the same members get the same key."""
+    rows = postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last list of what came so far: it may go on
@@ -254,14 +258,14 @@ def _members(postings: DataFrame) -> DataFrame:
         def emit(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), _blobs(sids.view(np.uint8).reshape(-1, 16))], names=["key", "sid"])
 
-        def lists(key, salt, own, sid, last: bool) -> Iterator[pa.RecordBatch]:
+        def lists(key, salt, size, own, sid, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, passing
             cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1])
             if passing is not None:
                 end = cuts[1] if len(cuts) > 1 else len(key)
                 if (key[0], salt[0]) == passing:
                     yield emit(key[:end].copy(), sid[:end].copy())
-                    key, salt, own, sid = key[end:], salt[end:], own[end:], sid[end:]
+                    key, salt, size, own, sid = key[end:], salt[end:], size[end:], own[end:], sid[end:]
                     cuts = cuts[1:] - end
                 if len(key):
                     passing = None
@@ -278,9 +282,13 @@ def _members(postings: DataFrame) -> DataFrame:
                 # a list dealt out by salt has its other members elsewhere
                 several = (several & np.logical_or.reduceat(own[:upto], at)) | (salt[at] > 0)
                 n = ends[:whole] - at
-                print_ = mix(np.add.reduceat(mix(sid[:upto, 0], 5), at) + n.astype(np.uint64), 47)
+                # members are sorted by size, so the neighbours are the likeliest partners
+                near = np.zeros(upto, bool)
+                near[1:] = 100 * size[: upto - 1] >= percent * size[1:upto]
+                near[at] = False
+                keep = np.repeat(several, n) & (near | np.append(near[1:], False) | np.repeat(salt[at] > 0, n))
+                print_ = mix(np.add.reduceat(np.where(keep, mix(sid[:upto, 0], 5), np.uint64(0)), at), 47)
                 print_ = np.where(salt[at] > 0, key[at], print_)
-                keep = np.repeat(several, n)
                 if keep.any():
                     yield emit(np.repeat(print_, n)[keep], sid[:upto][keep])
             if not last:
@@ -290,28 +298,28 @@ def _members(postings: DataFrame) -> DataFrame:
                     yield emit(key[a:].copy(), sid[a:].copy())
                     held = []
                 else:
-                    held = [(key[a:], salt[a:], own[a:], sid[a:])]
+                    held = [(key[a:], salt[a:], size[a:], own[a:], sid[a:])]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            blob = batch.column(3)
+            blob = batch.column(4)
             first = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset]
             sid = np.frombuffer(blob.buffers()[2], np.uint8)[first : first + 16 * len(blob)].view(np.uint64).reshape(-1, 2) if first % 8 == 0 else np.frombuffer(b"".join(blob.to_pylist()), np.uint64).reshape(-1, 2)
-            now = (batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), sid)
+            now = (batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), sid)
             held.append(now)
             if sum(len(x[0]) for x in held) >= 2 * HELD:
-                made = [np.concatenate([x[i] for x in held]) for i in range(4)]
+                made = [np.concatenate([x[i] for x in held]) for i in range(5)]
                 held = []
                 yield from lists(*made, last=False)
         if held:
-            yield from lists(*(np.concatenate([x[i] for x in held]) for i in range(4)), last=True)
+            yield from lists(*(np.concatenate([x[i] for x in held]) for i in range(5)), last=True)
 
     return rows.mapInArrow(run, "key long, sid binary").distinct()
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """sid, n, elements (binary, eight bytes each, ascending) and sketch of each text's set, once a task."""
+    """sid and elements (binary, eight bytes each, ascending) of each text's set, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -321,11 +329,11 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 for s in shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), words):
                     if len(s) and (sid := wide_id(s)) not in seen:
                         seen.add(sid)
-                        some.append((sid, len(s), s.tobytes(), sketch(s)))
+                        some.append((sid, s.tobytes()))
                 if some:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), (pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["sid", "n", "elements", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*some)], names=["sid", "elements"])
 
-    return texts.select("text").mapInArrow(run, "sid binary, n long, elements binary, sketch binary")
+    return texts.select("text").mapInArrow(run, "sid binary, elements binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -342,8 +350,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     total = pairs.count()
-    for end, name in (("a", "x"), ("b", "y")):
-        side = sets.select(F.col("node").alias(end), F.col("elements").alias(name))
+    sides = {end: sets.select(F.col("node").alias(end), F.col("elements").alias(name)) for end, name in (("a", "x"), ("b", "y"))}
+    if total <= BROADCAST_ROWS:  # the pairs go to the sets, so that only those of pairs are shuffled
+        few = F.broadcast(pairs)
+        both = sides["a"].join(few, "a").join(sides["b"].join(few, "b"), ["a", "b"])
+        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    for end, side in sides.items():
         # more than this share of all pairs: fewer than 10,000 sets
         hubs = written(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(500, total // 10_000)).select(end, F.ceil(F.col("_n") / max(250, total // 20_000)).alias("_parts")), "hubs")
         if hubs.isEmpty():
@@ -354,7 +366,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         dealt = pairs.join(F.broadcast(hubs), end, "left").withColumn("_salt", F.pmod(F.xxhash64(other), parts)).drop("_parts")
         spread = side.join(F.broadcast(hubs), end, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("_parts")
         pairs = dealt.join(spread, [end, "_salt"]).drop("_salt")
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -374,33 +386,36 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     counts = {r["n"]: r["count"] for r in documents.filter(F.col("n").between(1, HEAVIEST - 1)).groupBy("n").count().collect()}  # at most HEAVIEST rows
     boundary = Sizes(percent).boundary(counts)
     frequent, often = _ranks(profile)
-    members = written(_members(_postings(rows, words, percent, boundary, frequent, often)), "members")
+    members = written(_members(_postings(rows, words, percent, boundary, frequent, often), percent), "members")
     found = written(members.select("sid").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
     if found.isEmpty():
         return documents.withColumn("label", F.col("sid"))
-    sets = written(_wanted_sets(rows, documents, found, words), "sets")
     live = written(members.join(found, "sid").select("key", "node"), "live")
     discard(members)
-    roots = _linked_nodes(live, sets, percent)
+    # one row stands for all of a set: the least identifier's
+    of = spread_join(profile.filter("sid IS NOT NULL").select("id", "th", "n", "sid", "sketch"), found, ["sid"]).filter("node IS NOT NULL")
+    marks = of.groupBy("node").agg(F.min_by(F.struct("id", "th", "n", "sketch", "sid"), F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("d"))
+    marks = written(marks.select("node", "d.*"), "marks")
+    roots = _linked_nodes(live, marks, rows, words, percent)
     by_node = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = by_node.groupBy("root").agg(F.min_by("sid", "node").alias("label"))
     labels = written(by_node.join(labels, "root").filter("sid <> label").select("sid", "label"), "labels")
     return spread_join(documents, labels, ["sid"]).select("id", "th", "n", "sid", F.coalesce("label", "sid").alias("label"))
 
 
-def _wanted_sets(rows: DataFrame, documents: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """node, n, elements and sketch of the sets in found (sid, node), each from the text of one document."""
-    of = spread_join(documents.filter("sid IS NOT NULL"), found, ["sid"]).filter("node IS NOT NULL")
-    texts = written(of.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("d")).select(F.col("d.id").alias("id"), F.col("d.th").alias("th")).distinct(), "texts")
-    wanted = _small(texts.select(F.col("id").alias("_id"), F.col("th").alias("_th")), texts.count(), BROADCAST_IDS)
-    some = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
-    return _sets(some, words).dropDuplicates(["sid"]).join(found, "sid").select("node", "n", "elements", "sketch")
+def _wanted_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node and elements of the sets in wanted (node, sid, id, th), each from the text of one document."""
+    n = wanted.count()
+    texts = wanted.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    some = rows.join(_small(texts, n, BROADCAST_IDS), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    # a row that stands twice gives its set twice, from two tasks at most as often as there are tasks
+    return _sets(some, words).join(_small(wanted.select("sid", "node"), n, BROADCAST_IDS), "sid").select("node", "elements")
 
 
-def _linked_nodes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked_nodes(live: DataFrame, marks: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """node and root (a node) of the nodes that link with others. live: the lists' members (key, node)."""
-    marks = sets.select("node", "n", "sketch")
-    tried, everywhere, turn = None, False, 0
+    tried = sets = None
+    everywhere, turn = False, 0
     roots = live.sparkSession.createDataFrame([], "node long, root long")
     while True:
         labelled = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -411,16 +426,20 @@ def _linked_nodes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if labelled.isEmpty():
                 return roots
         everywhere = everywhere or turn > 3
-        offered, waiting = _offered(labelled, marks, percent, turn, everywhere)
+        offered, waiting = _offered(labelled, marks.select("node", "n", "sketch"), percent, turn, everywhere)
         offered = written(offered, "offered")
         fresh = offered.select("a", "b").distinct()
         fresh = written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
         none = fresh.isEmpty()
         if not none:
+            wanted = fresh.select(F.col("a").alias("node")).unionByName(fresh.select(F.col("b").alias("node"))).distinct()
+            wanted = wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti")
+            more = written(_wanted_sets(rows, written(wanted.join(marks.drop("sketch", "n"), "node"), "wanted"), words), "sets")
+            sets = more if sets is None else sets.unionByName(more)
             links = written(_verified(fresh, sets, percent), "verified")
             roots = _merged(roots, links)
             tried = fresh if tried is None else tried.unionByName(fresh)
-        # short lists have given all their pairs; the others go on, split ones until their members have visited all parts
+        # lists whose members have offered all there are need no other turn; the others go on, split ones until their members have visited all parts
         more = offered.filter("NOT complete").select("key")
         more = more if waiting is None else more.unionByName(waiting)
         before = labelled
@@ -489,7 +508,7 @@ def _offered(live: DataFrame, marks: DataFrame, percent: int, turn: int, everywh
                 if a == b:
                     continue
                 if now is not None and now != tuple(keys[a]):
-                    out += _pairs_of(now[0], held, percent, nearest)
+                    out += _pairs_of(now[0], held, percent, nearest, turn)
                     held = []
                 now = tuple(keys[a])
                 held.append(batch.slice(a, b - a))
@@ -497,7 +516,7 @@ def _offered(live: DataFrame, marks: DataFrame, percent: int, turn: int, everywh
                 yield _pair_batch(out)
                 out = []
         if held:
-            out += _pairs_of(now[0], held, percent, nearest)
+            out += _pairs_of(now[0], held, percent, nearest, turn)
         if out:
             yield _pair_batch(out)
 
@@ -508,7 +527,7 @@ def _pair_batch(pairs: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*pairs), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["key", "a", "b", "complete"])
 
 
-def _pairs_of(key: int, parts: list[pa.RecordBatch], percent: int, nearest: int) -> list[tuple]:
+def _pairs_of(key: int, parts: list[pa.RecordBatch], percent: int, nearest: int, turn: int) -> list[tuple]:
     """The pairs that a key's members offer. Roles: 0 only visited, 1 only visiting, 2 both, 3 both in a part of a split key."""
     rows = pa.Table.from_batches(parts)
     role, node, root, n = (rows.column(i).to_numpy() for i in (2, 3, 4, 5))
@@ -516,8 +535,18 @@ def _pairs_of(key: int, parts: list[pa.RecordBatch], percent: int, nearest: int)
     index = np.flatnonzero(role != 1)
     if len(node) <= FEW and (role == 2).all():
         x, y = np.triu_indices(len(node), 1)
-        keep = (root[x] != root[y]) & (np.abs(sketches[x] - sketches[y]).sum(1) <= (n[x] + n[y]) * (100 - percent) // (100 + percent))
-        return [(key, min(a, b), max(a, b), True) for a, b in zip(node[x[keep]].tolist(), node[y[keep]].tolist())]
+        apart = np.abs(sketches[x] - sketches[y]).sum(1)
+        keep = (root[x] != root[y]) & (apart <= (n[x] + n[y]) * (100 - percent) // (100 + percent))
+        x, y, apart = x[keep], y[keep], apart[keep]
+        complete = turn > 0 or len(x) < len(node)
+        if not complete:  # each member's nearest
+            order = np.argsort(apart, kind="stable")
+            some = set()
+            for ends in (x, y):
+                some.update(order[np.unique(ends[order], return_index=True)[1]].tolist())
+            some = sorted(some)
+            complete, x, y = len(some) == len(x), x[some], y[some]
+        return [(key, min(a, b), max(a, b), complete) for a, b in zip(node[x].tolist(), node[y].tolist())]
     main = rows.column(6)[0].as_py()
     if main is None:
         values, counts = np.unique(root, return_counts=True)
