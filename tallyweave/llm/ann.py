@@ -11,7 +11,7 @@ bucket is neither capped nor one task's. A query that finds too few candidates g
 
 Defined results:
 - vectors that are null, zero, of another length than most, or hold null or non-finite components take no part
-- ties go to the smaller identifier; fewer candidates than asked for: all of them; empty table: no rows; extra columns: ignored
+- ties go to the smaller identifier, however many rows tie (parallel vectors); fewer candidates than asked for: all of them; empty table: no rows; extra columns: ignored
 - repeated rows (one identifier and vector twice): count once
 """
 
@@ -31,6 +31,8 @@ from tallyweave.llm.common import written
 TABLES, HASHES, WIDTH, PROBES, SEED = 10, 4, 1.0, 30, 7
 MOST = 20_000
 BLOCK = 256
+#: Pairs that are compared exactly at once.
+PAIRS = 50_000
 BROADCAST_BUCKETS = 100_000
 
 
@@ -89,15 +91,22 @@ def _hashed(vectors: DataFrame, hasher: Hasher | None, query: bool) -> DataFrame
     return vectors.select("vid", "vec").mapInArrow(run, "bucket long, vid long, vec array<double>").withColumn("query", F.lit(int(query)))
 
 
-def _best_of(x: np.ndarray, vids: np.ndarray, q: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the places of its best rows, and their exact cosines."""
+def _best_of(x: np.ndarray, vids: np.ndarray, q: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the best rows: the query's place, the row's, and their exact cosine. Rows whose rough score is within its rounding error of the
+    best-th are all compared exactly, so ties of any number go to the smaller identifier."""
     nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
     rough = (q / nq[:, None]) @ (x / nx[:, None]).T
-    n = min(len(x), 2 * best + 4)
-    near = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-    exact = np.stack([(x[p] * y).sum(1) for p, y in zip(near, q)]) / (nx[near] * nq[:, None])
-    order = np.lexsort((vids[near], -exact), axis=1)[:, :best]
-    return np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+    n = min(len(x), best)
+    least = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n]
+    places, rows = np.nonzero(rough >= (least - 4e-16 * (x.shape[1] + 16))[:, None])
+    exact = np.empty(len(rows))
+    for a in range(0, len(rows), PAIRS):
+        some, other = rows[a : a + PAIRS], places[a : a + PAIRS]
+        exact[a : a + PAIRS] = (x[some] * q[other]).sum(1) / (nx[some] * nq[other])
+    order = np.lexsort((vids[rows], -exact, places))
+    places, rows, exact = places[order], rows[order], exact[order]
+    kept = np.arange(len(places)) - np.searchsorted(places, places) < best
+    return places[kept], rows[kept], exact[kept]
 
 
 def _searched(index: DataFrame, queries: DataFrame, best: int) -> DataFrame:
@@ -123,8 +132,8 @@ def _searched(index: DataFrame, queries: DataFrame, best: int) -> DataFrame:
                 vids, x = stacked
                 qv, q = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
                 for a in range(0, len(q), BLOCK):
-                    near, score = _best_of(x, vids, q[a : a + BLOCK], best)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qv[a : a + BLOCK], near.shape[1])), pa.array(vids[near].reshape(-1)), pa.array(score.reshape(-1))], names=["qvid", "vid", "score"])
+                    place, near, score = _best_of(x, vids, q[a : a + BLOCK], best)
+                    yield pa.RecordBatch.from_arrays([pa.array(qv[a + place]), pa.array(vids[near]), pa.array(score)], names=["qvid", "vid", "score"])
             waiting.clear()
 
         for batch in batches:

@@ -70,3 +70,22 @@ def test_hot_bucket_is_split(spark, monkeypatch):
     rows = [(i, (np.ones(8) + 0.01 * r.normal(size=8)).tolist()) for i in range(300)]
     got = got_of(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0))
     assert recall(got, brute(rows, lambda i: i % 50 == 0)) >= 0.9
+
+
+def test_parallel_vectors(spark):
+    """Two hundred multiples of one vector by powers of two tie exactly; the smallest identifiers win."""
+    r = np.random.default_rng(9)
+    for seed in range(3):
+        v = r.normal(size=16)
+        rows = [(int(i), (v * 2.0 ** int(r.integers(-8, 9))).tolist()) for i in range(200)] + [(200 + i, r.normal(size=16).tolist()) for i in range(30)]
+        got = got_of(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0))
+        exp = brute(rows, lambda i: i % 50 == 0)
+        assert {q: [a for a, _ in g] for q, g in got.items() if q < 200} == {q: [a for a, _ in e] for q, e in exp.items() if q < 200}
+
+
+def test_best_of_ties():
+    x = np.concatenate([np.tile([[3.0, 4.0]], (100, 1)) * 2.0 ** np.arange(100)[:, None] / 2.0**50, [[1.0, 0.0]]])
+    vids = np.random.default_rng(1).permutation(101)
+    place, near, score = ann._best_of(x, vids, np.array([[3.0, 4.0], [1.0, 0.0]]), 6)
+    assert [sorted(vids[near[place == 0]].tolist())] == [sorted(sorted(vids[:100].tolist())[:6])] and (score[place == 0] == 1.0).all()
+    assert near[place == 1][0] == 100 and len(near) == 12
