@@ -1,13 +1,14 @@
 """Toxicity by cumulative-link ordinal regression over sparse word features.
 
-Severity grades come from the labels and how much of what marks toxic texts a text holds: 0 not toxic, 1 toxic, 2 toxic with more
-distinct marking words than half of the toxic labelled texts. The model is
+Severity grades come from the labels, which tell toxic texts alone, and from how much of a lexicon of toxic words a text holds: 0 not toxic, 1 toxic, 2
+toxic with more distinct words of it than half of the toxic texts. The labelled documents are cut in two folds, and each is graded by the lexicon of
+the other, so that no document's own label or words decide which words grade it. The model is
 P(grade >= k) = sigmoid(w . x - t_k) with one w for all ascending thresholds t_k; x has a 1 for each word of the vocabulary
 that the text contains. The expected severity is the sum of P(grade >= k) over k; a text is rejected from P(grade >= 1) = 0.5 on.
 
 The classifier is fitted on at most ``max_labelled`` labelled documents (those whose identifiers hash lowest; whole texts). Document frequencies
 by class are counted over all of them in Spark; words that at least MIN_DOCS contain and whose association with toxicity
-is significant (signed root of the likelihood ratio) make up the vocabulary, at most MAX_WORDS. Scoring covers every document in one pass without a shuffle.
+is significant (root of the likelihood ratio) make up the vocabulary, all of them; the sample bounds it. The sample's words are written once. Scoring covers every document in one pass without a shuffle.
 
 Defined results:
 - null text: as the empty text; null or missing labels: left out of the fit; several labels of a document: toxic if one says so
@@ -23,12 +24,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.llm.common import discard, written
+
 MAX_LABELLED = 20_000
-MAX_WORDS = 20_000
 MIN_DOCS, MIN_ROOT = 3, 4.0
 RIDGE, STEPS = 0.01, 300
 GRADES = 3
@@ -94,61 +96,69 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     known = labels.select(F.col(id_col).alias("id"), grade.alias("grade")).filter("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").alias("grade"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     # at most max_labelled rows of two numbers
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("grade", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    texts = texts.select("grade", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(2)).cast("int").alias("fold"), "text")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grades = batch.column(0).to_pylist()
             for a in range(0, batch.num_rows, PORTION):
-                found = [sorted(words_of(t)) for t in batch.column(1).slice(a, PORTION).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(grades[a : a + PORTION], pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["grade", "words"])
+                part = batch.slice(a, PORTION)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(words_of(t)) for t in part.column(2).to_pylist()], pa.list_(pa.string()))], names=["grade", "fold", "words"])
 
-    counted = texts.mapInArrow(distinct, "grade int, words array<string>")
-    seen = counted.groupBy("grade").count().collect()
-    total = sum(r["count"] for r in seen)
-    toxic = sum(r["count"] for r in seen if r["grade"] > 0)
+    counted = written(texts.mapInArrow(distinct, "grade int, fold int, words array<string>"), "labelled")
+    seen = {(r["grade"], r["fold"]): r["count"] for r in counted.groupBy("grade", "fold").count().collect()}
+    toxic_in, other_in = ([seen.get((g, f), 0) for f in (0, 1)] for g in (1, 0))
+    toxic, total = sum(toxic_in), sum(toxic_in) + sum(other_in)
     if not 0 < toxic < total:
         share = toxic / total if total else 0.0
         edge = np.inf if share == 0 else -np.inf
         return Model([edge] * (GRADES - 1))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")  # documents with the word: toxic, other
-    part = lambda x, rows: F.when(x > 0, x * F.log(x * total / ((a + b) * rows))).otherwise(0.0)
-    ratio = 2 * (part(a, toxic) + part(b, total - toxic) + _absent(toxic - a, total - a - b, toxic, total) + _absent(total - toxic - b, total - a - b, total - toxic, total))
+    with_word = [F.count_if((F.col("grade") == g) & (F.col("fold") == f)).alias(f"{'ba'[g]}{f}") for g in (1, 0) for f in (0, 1)]
+    root = lambda a, b, toxic, other: _root(F.col(a).cast("double"), F.col(b).cast("double"), toxic, other)
+    marks = [(F.col(f"a{f}") * other_in[f] > F.col(f"b{f}") * toxic_in[f]) & (root(f"a{f}", f"b{f}", toxic_in[f], other_in[f]) >= MIN_ROOT) for f in (0, 1)]
     words = (
-        counted.select("grade", F.explode("words").alias("word"))
+        counted.select("grade", "fold", F.explode("words").alias("word"))
         .groupBy("word")
-        .agg(F.count_if(F.col("grade") > 0).alias("a"), F.count_if(F.col("grade") == 0).alias("b"))
+        .agg(*with_word)
+        .withColumns({"a": F.col("a0") + F.col("a1"), "b": F.col("b0") + F.col("b1")})
         .filter(F.col("a") + F.col("b") >= MIN_DOCS)
-        .withColumn("root", F.sqrt(F.greatest(ratio, F.lit(0.0))))
+        .withColumn("root", root("a", "b", toxic, total - toxic))
         .filter(F.col("root") >= MIN_ROOT)
         .orderBy(F.desc("root"), "word")
-        .limit(MAX_WORDS)
-        .select("word", (a * (total - toxic) > b * toxic).alias("marks"))
+        .select("word", F.coalesce(marks[0], F.lit(False)).alias("m0"), F.coalesce(marks[1], F.lit(False)).alias("m1"))
     )
-    found = words.collect()
-    vocabulary, marks = [r["word"] for r in found], np.array([r["marks"] for r in found], bool)
+    found = words.collect()  # words of max_labelled documents
+    vocabulary, lexicon = [r["word"] for r in found], np.array([[r["m0"] for r in found], [r["m1"] for r in found]], bool)
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grades = batch.column(0).to_pylist()
             for a in range(0, batch.num_rows, PORTION):
-                found = [np.array(sorted(place[w] for w in words_of(t) if w in place), np.int32).tobytes() for t in batch.column(1).slice(a, PORTION).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(grades[a : a + PORTION], pa.int32()), pa.array(found, pa.binary())], names=["grade", "places"])
+                part = batch.slice(a, PORTION)
+                found = [np.array(sorted(place[w] for w in x if w in place), np.int32).tobytes() for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["grade", "fold", "places"])
 
-    # bounded by max_labelled documents and MAX_WORDS words
-    rows = texts.mapInArrow(places, "grade int, places binary").collect()
-    rows.sort(key=lambda r: (r["grade"], bytes(r["places"])))
+    # bounded by max_labelled documents
+    rows = counted.mapInArrow(places, "grade int, fold int, places binary").collect()
+    rows.sort(key=lambda r: (r["grade"], r["fold"], bytes(r["places"])))
     bags, grades = [np.frombuffer(r["places"], np.int32) for r in rows], np.array([r["grade"] for r in rows])
-    marking = np.array([marks[b].sum() for b in bags])
-    grades[(grades == 1) & (marking > np.median(marking[grades == 1]))] = 2
+    held = np.array([lexicon[1 - r["fold"]][b].sum() for r, b in zip(rows, bags)])
+    grades[(grades == 1) & (held > np.median(held[grades == 1]))] = 2
+    discard(counted)
     weights, thresholds = fit_ordinal(bags, grades, len(vocabulary))
     return Model(thresholds.tolist(), dict(zip(vocabulary, weights.tolist())))
 
 
-def _absent(x, without, rows: int, total: int):
-    """The likelihood ratio's part for the documents of a class without the word."""
-    return F.when(x > 0, x * F.log(x * total / (without * rows))).otherwise(0.0)
+def _root(a: Column, b: Column, toxic: int, other: int) -> Column:
+    """The root of the likelihood ratio of a word in a of the toxic and b of the other documents, against one share of both."""
+    total = toxic + other
+
+    def part(x: Column, row: Column, column: int) -> Column:
+        return F.when((x > 0) & (row * column > 0), x * F.log(x * total / (row * column))).otherwise(0.0)
+
+    without = F.lit(float(total)) - a - b
+    ratio = part(a, a + b, toxic) + part(b, a + b, other) + part(toxic - a, without, toxic) + part(other - b, without, other)
+    return F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
 
 
 def _score(model: Model, texts: DataFrame, rest: list[str]) -> DataFrame:

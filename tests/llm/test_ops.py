@@ -47,6 +47,54 @@ def test_exact_dedup(spark, keep, pick, hot):
     assert exact_dedup.exact_groups(df.limit(0)).collect() == []
 
 
+def test_exact_dedup_hot_ranges(spark):
+    """Many texts with the same leading characters, some of them in hot groups; null and repeated identifiers."""
+    lead = "Same " * 200
+    rows = [(i, f"{lead}{i % 40}") for i in range(300)] + [(1000 + i % 90, lead + "HOT") for i in range(400)] + [(None, lead + "hot")] * 3 + [(None, "only NULL")] * 2 + [(None, "all null" * 90)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.translate(UPPER), []).append(i)
+    for keep, pick in (("smallest", min), ("largest", max)):
+        best = {n: pick([i for i in g if i is not None], default=None) for n, g in groups.items()}
+        got = exact_dedup.exact_groups(df, keep).collect()
+        sha = {hashlib.sha256(n.encode()).hexdigest(): n for n in groups}
+        assert all((r.keep_id, r.group_size) == (best[sha[r.text_sha256]], len(groups[sha[r.text_sha256]])) for r in got) and len(got) == len(rows)
+        kept = [(sha[r.text_sha256], r.doc_id) for r in got if r.kept]
+        assert sorted(kept, key=str) == sorted(best.items(), key=str)
+        assert sorted(((r.text.translate(UPPER), r.doc_id) for r in exact_dedup.deduplicated(df, keep).collect()), key=str) == sorted(best.items(), key=str)
+
+
+def test_toxicity_query(spark, small):
+    """The query's rows against a plain scorer, and the fit's thresholds and grades."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    docs_ = spark.read.parquet(f"{small}/documents.parquet")
+    model = toxicity.fit(docs_, labels)
+    again = toxicity.fit(docs_.repartition(3), labels.repartition(2))
+    assert again == model and model.thresholds == sorted(model.thresholds) and len(model.thresholds) == 2
+    texts = {r.doc_id: r.text for r in docs_.collect()}
+    got = queries.QUERIES["op1_toxicity"](spark, small).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        z = sum(model.weights.get(w, 0.0) for w in set(toxicity.WORDS.findall((texts[r.doc_id] or "").lower())))
+        p = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert r.p_toxic == pytest.approx(p[0]) and r.expected_severity == pytest.approx(sum(p)) and r.grade == sum(x >= 0.5 for x in p) and r.toxic == (r.p_toxic >= 0.5)
+
+
+def test_toxicity_severity(spark):
+    """Texts with more toxic words are expected to be more severe; a very long text and a null count whole."""
+    r = random.Random(4)
+    bad = ["vile", "rotten", "wretch", "filth", "scum"]
+    rows = [(i, " ".join([*r.sample(bad, i % 3 * 2), *(f"w{r.randrange(50)}" for _ in range(20))])) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    severity = lambda t: sum(model.probabilities(t))
+    assert severity("w1 w2") < 0.2 < severity("w1 vile rotten") < severity("w1 vile rotten wretch filth")
+    assert model.probabilities("vile rotten wretch filth")[1] > 0.5 > model.probabilities("vile rotten")[1]
+    long = "w1 " + "word " * 300_000 + "wretch filth vile"
+    assert severity(long) == severity("w1 word wretch filth vile") and severity(None) == severity("")
+
+
 def test_mixing(spark):
     r = random.Random(1)
     rows = [(i, " ".join("w" * r.randrange(1, 9) for _ in range(r.randrange(0, 60))), ["c", "b", "a", "d", None][min(4, int(r.random() ** 3 * 5))], "clash") for i in range(3000)]
