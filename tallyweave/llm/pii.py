@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
-Seeds are the spans of four base kinds. The words beside a seed induce lexical patterns ("the word before is
-w", "the word after is w"); other words that hold a digit or @ are candidate instances of the same patterns. Patterns and instances form
+Seeds are the spans of four base kinds. What stands beside a seed induces lexical patterns ("the word before is w", "the word after is w", "it is
+glued to w", as in ip=1.2.3.4 or tel:+1); other words that hold a digit or @, or what they glue to such a w, are candidate instances of the same patterns. Patterns and instances form
 a graph that is scored in rounds: a pattern's confidence is the share of its word's occurrences in the whole corpus that stand
 beside an instance, each counted by its score; an instance's score is the noisy-or of its patterns' confidences. A pattern
 that could not become confident even if all its candidates were true is dropped before the rounds, which removes the common words.
@@ -13,7 +13,7 @@ behind a boundary, so they are linear in the text and need no deep stack; they m
 Defined results:
 - null text: as the empty text, no spans; empty table: no rows; extra columns: ignored
 - repeated rows: a row each, told apart by a row number that is written before it is used twice
-- long texts: whole; an instance is a word of 6 to 64 characters, a context word counts by its nearest 32 characters
+- long texts: whole, in time linear in their spans; an instance has six characters at least, and context words of any length count whole
 - spans are in code points, the end exclusive, by start and then kind
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import ascii_lower, written
@@ -42,6 +43,11 @@ ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE = 3, 3, 0.8, 0.9
 BROADCAST_WORDS = 100_000
 CHUNK = 256
 _FOUND = "array<struct<start:int,kind:int,end:int,word:string,left:string,right:string>>"
+#: Marks what is glued to an instance, so that it is no word of its own; and what ends it.
+GLUED = "\x01"
+_GLUE = r"^([^=:]++[=:])(?=.)"
+NEAR = 256
+MIN_LENGTH = 6
 
 
 def _valid(kind: str, hit: Column) -> Column:
@@ -55,16 +61,32 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _spaced(text: Column) -> Column:
+    return F.translate(text, "\t\n\x0b\x0c\r", "     ")
+
+
+def _before(gap: Column) -> Column:
+    """The word before a hit, or what the hit is glued to if that ends in = or : and has none before; else empty. Looks far only where it must."""
+    opened = lambda x: F.rtrim(x, F.lit("\"'([<"))
+    tail = _spaced(F.right(gap, F.lit(NEAR)))
+    text = F.when((F.length(gap) <= NEAR) | F.contains(F.rtrim(opened(tail)), F.lit(" ")), opened(tail)).otherwise(opened(_spaced(gap)))
+    last = F.substring_index(text, " ", -1)
+    word = F.when(text.endswith(" "), F.substring_index(F.rtrim(text), " ", -1)).when(last.rlike("^[^=:]++[=:]$"), F.concat(F.lit(GLUED), last)).otherwise("")
+    return ascii_lower(word)
+
+
 def _located(kind: int, parts: str, starts: str) -> Column:
     """The hits of parts with their places and the words beside them; chunk by chunk, so that the work is linear in the hits."""
-    near = rf"([^{WHITE}]{{1,32}})[{WHITE}]*$", rf"^[.,;:!?)\]\"']*[{WHITE}]+([^{WHITE}]{{1,32}})"
+    after = rf"^[.,;:!?)\]\"']*[{WHITE}]+([^{WHITE}]+)"
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        left = F.regexp_extract(ascii_lower(F.right(x["gap"], F.lit(80))), near[0], 1)
-        right = F.regexp_extract(ascii_lower(F.left(x["next"], F.lit(80))), near[1], 1)
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("word"), left.alias("left"), right.alias("right"))
+        glue = F.regexp_extract(x["hit"], _GLUE, 1) if kind == CONTEXT else F.lit("")
+        left = F.when(glue != "", F.concat(F.lit(GLUED), ascii_lower(glue))).otherwise(_before(x["gap"])) if kind == CONTEXT else _before(x["gap"])
+        word = F.when(glue != "", F.substr(x["hit"], F.length(glue) + 1)).otherwise(x["hit"]) if kind == CONTEXT else x["hit"]
+        right = ascii_lower(F.regexp_extract(x["next"], after, 1))
+        one = F.struct((start + F.length(glue)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), word.alias("word"), left.alias("left"), right.alias("right"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     def chunk(i: Column) -> Column:
@@ -103,14 +125,28 @@ def _found(rows: DataFrame) -> DataFrame:
         return lambda x: _valid(name, x["word"])
 
     base = F.concat(*[F.filter(f"_at{k}", of(name)) for k, (name, _, _) in enumerate(KINDS)])
-    rows = rows.select("_row", "id", F.array_sort(base).alias("base"), F.col(f"_at{CONTEXT}").alias("candidates"))
-    apart = lambda c: F.length(c["word"]).between(6, 64) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return rows.withColumn("candidates", F.when(F.size("candidates") > 0, F.filter("candidates", apart)).otherwise(F.col("candidates")))
-
-
-def _edges(found: DataFrame, column: str, seed: int) -> DataFrame:
+    return rows.select("_row", "id", F.array_sort(base).alias("base"), F.filter(f"_at{CONTEXT}", lambda c: (F.length(c["word"]) >= MIN_LENGTH) & c["word"].rlike("[0-9@]")).alias("candidates"))
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """_row and the candidates that overlap no base span, a row each. Spans of a text are compared with their neighbours in order of start."""
+    some = found.filter(F.size("candidates") > 0)
+    alone = some.filter(F.size("base") == 0).select("_row", F.explode("candidates").alias("x")).select("_row", "x.*")
+    both = some.filter(F.size("base") > 0)
+    one = lambda column, flag: both.select("_row", F.explode(column).alias("x")).select("_row", "x.*", F.lit(flag).alias("flag"))
+    in_order = W.partitionBy("_row").orderBy("start", "flag", "end")
+    is_base = F.col("flag") == 0
+    past = F.max(F.when(is_base, F.col("end"))).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    # the frame behind a row is read backwards, so that it grows row by row as the one before does
+    backwards = W.partitionBy("_row").orderBy(F.desc("start"), F.desc("flag"), F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
+    ahead = F.min(F.when(is_base, F.col("start"))).over(backwards)
+    x = one("base", 0).unionByName(one("candidates", 1)).withColumns({"past": past, "ahead": ahead}).filter("flag = 1")
+    x = x.filter((F.coalesce("past", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end")))
+    return alone.unionByName(x.select(*alone.columns))
+
+
+def _edges(x: DataFrame, seed: int) -> DataFrame:
     """side, word, instance, seed, n: how often the instance stands beside the word."""
-    x = found.filter(F.size(column) > 0).select(F.explode(column).alias("x")).select("x.*")
     sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("beside")), F.struct(F.lit("R").alias("side"), F.col("right").alias("beside"))))
     x = x.select(F.col("word").alias("instance"), sides.alias("s")).select("instance", "s.*").filter("beside != ''")
     return x.groupBy("side", "beside", "instance").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.lit(seed))
@@ -120,15 +156,19 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_WORDS else df
 
 
-def learned(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The instances that confident patterns discover: instance, score."""
-    edges = written(_edges(found, "base", 1).unionByName(_edges(found, "candidates", 0)), "edges")
+def learned(docs: DataFrame, base: DataFrame, candidates: DataFrame, text_col: str = "text") -> DataFrame:
+    """The instances that confident patterns discover: instance, score. base, candidates: a row per span."""
+    edges = written(_edges(base, 1).unionByName(_edges(candidates, 0)), "edges")
     support = edges.groupBy("side", "beside").agg(F.sum("seed").alias("support"), F.sum("n").alias("reach")).filter(F.col("support") >= MIN_SUPPORT)
     support = written(support, "support")
     n = support.count()
     words = _small(support.select("beside").distinct(), n)
+    every = F.split(ascii_lower(F.col(text_col)), f"[{WHITE}]+")
+    if not support.filter(F.startswith("beside", F.lit(GLUED))).isEmpty():
+        glue = F.transform(F.filter(every, lambda w: F.contains(w, F.lit("=")) | F.contains(w, F.lit(":"))), lambda w: F.concat(F.lit(GLUED), F.regexp_extract(w, _GLUE, 1)))
+        every = F.concat(every, glue)
     counts = (
-        docs.select(F.explode(F.split(ascii_lower(F.col(text_col)), f"[{WHITE}]+")).alias("beside"))
+        docs.select(F.explode(every).alias("beside"))
         .join(words, "beside", "left_semi")
         .groupBy("beside")
         .agg(F.count(F.lit(1)).alias("total"))
@@ -153,8 +193,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """A row per document: its identifier; base and spans, arrays of (start, kind, end), kind a place in KINDS or CONTEXT."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = written(_found(rows.withColumn("_row", F.monotonically_increasing_id())), "found")
-    more = found.filter(F.size("candidates") > 0).select("_row", F.explode("candidates").alias("c")).join(learned(rows, found, "text"), F.col("c.word") == F.col("instance"))
-    more = more.groupBy("_row").agg(F.collect_list(F.struct("c.start", "c.kind", "c.end")).alias("more"))
+    candidates = written(_apart(found), "candidates")
+    seeds = found.filter(F.size("base") > 0).select(F.explode("base").alias("x")).select("x.*")
+    more = candidates.join(learned(rows, seeds, candidates, "text"), F.col("word") == F.col("instance"))
+    # of one text's spans, which its own row holds anyway
+    more = more.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     short = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     base = F.transform("base", short)
     rows = found.join(more, "_row", "left")

@@ -144,3 +144,39 @@ def test_scanner_finds_what_a_full_scan_finds():
     full = [sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t, re.ASCII) if m.end(r.group) - m.start(r.group) >= r.least) for t in texts]
     assert secrets.Scanner(rules).scan(texts) == full
     assert full[-3] and full[-2] and full[-1]
+
+
+def test_pii_glued_and_long_context(spark):
+    """What a span is glued to is a pattern, and words of any length count whole."""
+    word = "w" * 300
+    texts = [f"host ip=10.0.0.{i} seen" for i in range(20)] + ["host ip=node-77-x9 seen", "mail to:x1 now"] + [f"{word} a{i}@b.co" for i in range(8)] + [f"{word} {'id7' * 40}", f"x{word} {'id7' * 40}x", "ip= node-77-y9"]
+    got = {r.doc_id: r for r in pii.find(frame(spark, texts)).collect()}
+    found = {i: [(x.start, x.end) for x in r.spans if x.kind == pii.CONTEXT] for i, r in got.items()}
+    assert {i: x for i, x in found.items() if x} == {20: [(8, 18)], 30: [(301, 421)]}
+
+
+def test_pii_candidates_apart(spark):
+    """Candidates that touch a base span go, by all pairs."""
+    import random
+
+    r = random.Random(3)
+    pieces = ["a1@b.co", "1.2.3.4", "x9y8z7", "q=1.2.3.4", "u:+1 229 555 4838", "4111 1111 1111 1111", "word", "abc1.2.3.4def", "k=abc123def", "@@@@@@"]
+    texts = [" ".join(r.choice(pieces) for _ in range(r.randrange(40))) for _ in range(60)]
+    rows = frame(spark, texts).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id())
+    found = pii._found(rows).cache()
+    exp = sorted((x._row, c.start, c.end) for x in found.collect() for c in x.candidates if not any(b.start < c.end and c.start < b.end for b in x.base))
+    assert sorted((x._row, x.start, x.end) for x in pii._apart(found).collect()) == exp and exp
+
+
+def test_pii_many_spans_in_one_text(spark):
+    """The time grows with the spans, not with their square."""
+    import time
+
+    text = lambda n: " ".join(f"user{i}@example{i % 7}.com" for i in range(n))
+    took = {}
+    for n in (15_000, 60_000):
+        began = time.time()
+        row = pii.find(frame(spark, ["x", text(n)]).limit(2)).filter("doc_id = 1").first()
+        took[n] = time.time() - began
+        assert len(row.base) == n
+    assert took[60_000] < 8 * took[15_000]
