@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.common import tidy
+
 #: Classes of code points. The letters that can follow an apostrophe have their own.
 SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE, STMD, R, V, L, E, END = range(12)
 #: States. FRESH: whatever comes begins a piece. SPACED: one space that the next character joins. QUOTED: an
@@ -35,8 +37,8 @@ LETTERS = (LETTER, STMD, R, V, L, E)
 #: Code points that are white space besides the categories Z*: tab to carriage return, and next line.
 CONTROLS = (*range(0x09, 0x0E), 0x85)
 BLOCK = 256
-BATCH_CHARS = 4_000_000
-CACHE = 400_000
+BATCH_CHARS = 1_000_000
+CACHE = 200_000
 #: Bytes up to which a list of pairs is searched; longer pieces use a heap.
 SHORT = 96
 
@@ -273,6 +275,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or default_path()
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
@@ -294,6 +297,7 @@ def decode(encoded: DataFrame, path: str | None = None, tokens_col: str = "token
     rest = [c for c in encoded.columns if c != tokens_col]
     fields = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:

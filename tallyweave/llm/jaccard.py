@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import BROADCAST_ROWS, discard, spread_join, written
+from tallyweave.llm.common import BROADCAST_ROWS, discard, spread_join, tidy, written
 from tallyweave.llm.components import components
 from tallyweave.llm.shingles import mix, shingle_sets
 
@@ -174,6 +174,7 @@ def _profile(rows: DataFrame, words: int) -> DataFrame:
     id_type = rows.schema["id"].dataType.simpleString()
     kind = rows.select("id").limit(0).toArrow().schema.field(0).type
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = Frequent(), set()
         names = ["id", "th", "n", "sid", "sketch", "hashes", "counts"]
@@ -197,6 +198,7 @@ def _profile(rows: DataFrame, words: int) -> DataFrame:
 def _ranks(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The RANKED most frequent shingles of all documents, ascending, and their counts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -212,6 +214,7 @@ def _ranks(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _postings(rows: DataFrame, words: int, percent: int, boundary: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
     """key, salt, n (the set's size), own (among the first of a smaller set), sid: the subsets of light sets and the list entries of the others, each set once a task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, seen = Sizes(percent), set()
         listed = boundary * percent // 100  # partners of heavy sets reach down to here
@@ -251,6 +254,7 @@ def _members(postings: DataFrame, percent: int) -> DataFrame:
     """key, sid of the lists with several sets of sizes that may link, one of which may be the smaller. Lists with the same members get the same key."""
     rows = postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the last list of what came so far: it may go on
         passing = None
@@ -321,6 +325,7 @@ def _members(postings: DataFrame, percent: int) -> DataFrame:
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """sid and elements (binary, eight bytes each, ascending) of each text's set, once a task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
@@ -339,6 +344,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. A set with very many pairs has its elements dealt out with them by salt."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -497,6 +503,7 @@ def _offered(live: DataFrame, marks: DataFrame, percent: int, turn: int, everywh
 
     nearest = NEAREST * GROWTH**turn
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None

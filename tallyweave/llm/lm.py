@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave.llm import attention, bpe
-from tallyweave.llm.common import written
+from tallyweave.llm.common import tidy, written
 from tallyweave.llm.pieces import Pieces
 from tallyweave.llm.shingles import word_hashes
 
@@ -57,6 +57,7 @@ def _tokenised(docs: DataFrame, path: str) -> DataFrame:
     """docs: id, held, text. A row per document, and rows with each chunk's dictionary (hashes) and its training counts. Subwords are cut once for each
     distinct word of a chunk."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.vocabulary(path)
         pieces, end = Pieces(vocabulary), len(vocabulary.bytes)
@@ -128,6 +129,7 @@ def _tokenised(docs: DataFrame, path: str) -> DataFrame:
 def _words(tokens: DataFrame) -> DataFrame:
     """chunk, at (place in its dictionary), hash, c."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, hashes, counts, start in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -153,6 +155,7 @@ def _contexts(tokens: DataFrame, size: int) -> attention.Lexicon:
     dtype, dims = _id_type(size), DIMS
     names = [f"s{i}" for i in range(2 * dims)]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = np.random.Generator(np.random.PCG64(5)).normal(size=(size + 1, dims)).astype(np.float32)
         count, sums = np.zeros(size + 1, np.int64), np.zeros((size + 1, 2 * dims))
@@ -181,6 +184,7 @@ def _followers(tokens: DataFrame, lex: attention.Lexicon, size: int) -> attentio
     dtype, columns = _id_type(size), lex.begin
     of = np.append(lex.column, columns)  # the beginning is no id's follower
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((attention.STATES + 1) * columns, np.int64)
         for batch in batches:
@@ -203,6 +207,7 @@ def _trained(tokens: DataFrame, lex: attention.Lexicon, size: int) -> dict[str,
     """Each task's model from the common start, averaged by the windows that each has seen: every token of every training document is a target once."""
     dtype = _id_type(size)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = attention.Trainer(attention.initial(), lex)
         held: list[tuple] = []
@@ -235,6 +240,7 @@ def _trained(tokens: DataFrame, lex: attention.Lexicon, size: int) -> dict[str,
 def _lm_scores(tokens: DataFrame, model: attention.Model, size: int) -> DataFrame:
     dtype = _id_type(size)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
@@ -252,6 +258,7 @@ def _base_scores(tokens: DataFrame, totals: DataFrame, n: int, v: int) -> DataFr
     rows = counts.unionByName(documents).repartition("chunk").sortWithinPartitions("chunk", "kind", "at")
     whole = np.log10(n + 0.5 * (v + 1))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         logs, now = np.empty(0), None

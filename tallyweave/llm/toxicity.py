@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import discard, written
+from tallyweave.llm.common import discard, tidy, written
 
 MAX_LABELLED = 20_000
 MIN_DOCS, MIN_ROOT = 3, 4.0
@@ -99,6 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
     texts = texts.select("grade", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(2)).cast("int").alias("fold"), "text")
 
+    @tidy
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, PORTION):
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     vocabulary, lexicon = [r["word"] for r in found], np.array([[r["m0"] for r in found], [r["m1"] for r in found]], bool)
     place = {w: i for i, w in enumerate(vocabulary)}
 
+    @tidy
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, PORTION):
@@ -162,6 +164,7 @@ def _root(a: Column, b: Column, toxic: int, other: int) -> Column:
 
 
 def _score(model: Model, texts: DataFrame, rest: list[str]) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
