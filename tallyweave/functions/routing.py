@@ -11,6 +11,7 @@ from tallyweave.functions.text import strip
 MANIFESTO = ("manifesto", "वाचा", "वाचा पत्र", "वाचापत्र", "बाचा", "बाचा पत्र", "बाचापत्र", "bacha patra", "bacha_patra", "vacha patra", "vacha_patra")
 SCANNED = ("बाचा", "बाचा पत्र", "bacha patra", "bacha_patra", "vacha patra", "vacha_patra", "वाचा पत्र", "वाचापत्र", "बाचापत्र")
 BUDGET_BOOKS = ("lalkitab", "redbook")
+#: Fixed value: what marks a party's own files in their paths, unless another mark is passed.
 PARTY_MARK = "rsp"
 DETERMINISTIC = ("agenda_json", "manifesto_csv")
 
@@ -27,12 +28,12 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]+(\.[^./]+)$", 1))
 
 
-def source_type(path: Column) -> Column:
+def source_type(path: Column, party_mark: str = PARTY_MARK) -> Column:
     """The first rule that holds."""
     lower, ext = F.lower(path), suffix(path)
     return (
         F.when(_any(lower, BUDGET_BOOKS), "lal_kitab")
-        .when(_any(lower, MANIFESTO) | (F.contains(lower, F.lit(PARTY_MARK)) & (ext == ".csv")), "manifesto")
+        .when(_any(lower, MANIFESTO) | (F.contains(lower, F.lit(party_mark)) & (ext == ".csv")), "manifesto")
         .when(F.contains(lower, F.lit("agenda")) & (ext == ".json"), "manifesto")
         .when(F.contains(lower, F.lit("citizen")), "citizen")
         .when(_any(lower, ("media", "news")), "media")
@@ -40,12 +41,12 @@ def source_type(path: Column) -> Column:
     )
 
 
-def source_subtype(path: Column, document: Column, kind: Column) -> Column:
+def source_subtype(path: Column, document: Column, kind: Column, party_mark: str = PARTY_MARK) -> Column:
     lower = F.lower(F.concat_ws(" ", F.coalesce(path, F.lit("")), F.coalesce(document, F.lit(""))))
     ext = suffix(F.when(F.coalesce(path, F.lit("")) != "", path).otherwise(document))
     return (
         F.when((F.contains(lower, F.lit("agenda")) & (ext == ".json")) | ((ext == ".json") & (kind == "manifesto")), "agenda_json")
-        .when(F.contains(lower, F.lit(PARTY_MARK)) & (ext == ".csv"), "manifesto_csv")
+        .when(F.contains(lower, F.lit(party_mark)) & (ext == ".csv"), "manifesto_csv")
         .when((ext == ".pdf") & (kind == "manifesto"), F.when(_any(lower, SCANNED), "scanned_manifesto_pdf").otherwise("manifesto_pdf"))
         .otherwise(F.coalesce(kind, F.lit("other")))
     )

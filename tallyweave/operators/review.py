@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import budget
 from tallyweave.functions.ids import stable_id
+from tallyweave.functions.text import strip, valid_email
 from tallyweave.operators.graph import latest
 
 #: Fixed values.
@@ -162,3 +163,15 @@ def category_backfill(rows: DataFrame, classified: Column) -> tuple[DataFrame, D
     x = x.withColumns({"changed": ~F.col("category").eqNullSafe(F.col("c.display_name")), "category": F.col("c.display_name"), "policy_category_id": stable_id("policy_category", F.col("c.display_name"))})
     counts = x.groupBy("category", F.col("c.source").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed"))
     return x.drop("c"), counts
+
+
+def subscriptions(requests: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """requests: id, email, source, agenda_id; existing: email. New subscribers, and each request's outcome: invalid, already or added (the smallest id of an
+    address; its other requests find it there)."""
+    cleaned = F.lower(strip(F.coalesce("email", F.lit(""))))
+    x = requests.withColumns({"email": F.when(F.coalesce(valid_email(F.col("email")), F.lit(False)), cleaned), "source": F.coalesce(strip(F.col("source")), F.lit("homepage")), "agenda_id": strip(F.col("agenda_id"))})
+    firsts = x.filter("email IS NOT NULL").groupBy("email").agg(F.min("id").alias("_first")).join(existing.select("email").distinct(), "email", "left_anti")
+    told = x.join(firsts, "email", "left")
+    outcome = F.when(F.col("email").isNull(), "invalid").when(F.col("id") == F.col("_first"), "added").otherwise("already")
+    told = told.withColumn("outcome", outcome)
+    return told.filter("outcome = 'added'").select("email", "source", "agenda_id"), told.select("id", "outcome")

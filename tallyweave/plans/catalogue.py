@@ -443,42 +443,6 @@ def noise_scrub(spark, d):
     return t(spark, d, "part").select("p_partkey", title.alias("title")).filter(~graph.noise(F.col("title")))
 
 
-@query("SELECT event_id, user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS waited_us FROM events")
-def flow_lag(spark, d):
-    """Planned extension: how long each step of a flow took."""
-    before = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))).alias("waited_us"))
-
-
-@query("""
-WITH l AS (SELECT l_orderkey AS k, min(l_linestatus) AS lo, max(l_linestatus) AS hi FROM lineitem GROUP BY 1)
-SELECT coalesce(o_orderkey, k) AS id, CASE WHEN k IS NULL THEN 'no_ground' WHEN o_orderkey IS NULL THEN 'no_paper' WHEN lo = hi AND lo = o_orderstatus THEN 'agree' ELSE 'diverge' END AS state FROM orders FULL JOIN l ON k = o_orderkey
-""")
-def divergence(spark, d):
-    """Planned extension: paper state against what is seen on the ground."""
-    ground = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_linestatus").alias("lo"), F.max("l_linestatus").alias("hi"))
-    x = t(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(ground, F.col("k") == F.col("o_orderkey"), "full")
-    state = F.when(F.col("k").isNull(), "no_ground").when(F.col("o_orderkey").isNull(), "no_paper").when((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("o_orderstatus")), "agree").otherwise("diverge")
-    return x.select(F.coalesce("o_orderkey", "k").alias("id"), state.alias("state"))
-
-
-@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
-def missing_allocation(spark, d):
-    """Planned extension: what is missing, by class."""
-    return t(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(_lines(spark, d), "o_orderkey", "left_anti").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""
-WITH q AS (SELECT event_type, quantile_disc(value, 0.05) AS lo, quantile_disc(value, 0.95) AS hi FROM events GROUP BY 1)
-SELECT event_type, count(*) FILTER (value < lo) AS below, count(*) FILTER (value > hi) AS above FROM events JOIN q USING (event_type) GROUP BY event_type
-""")
-def delay_bands(spark, d):
-    """Planned extension: what lies outside its class's expected range (exact discrete percentiles)."""
-    e = t(spark, d, "events").select("event_type", "value")
-    q = e.groupBy("event_type").agg(F.expr("percentile_disc(0.05) WITHIN GROUP (ORDER BY value)").alias("lo"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("hi"))
-    return e.join(F.broadcast(q) if q.limit(1001).count() <= 1000 else q, "event_type").groupBy("event_type").agg(F.count_if(F.col("value") < F.col("lo")).alias("below"), F.count_if(F.col("value") > F.col("hi")).alias("above"))
-
-
 @query()
 def similarity_ratio(spark, d):
     part = t(spark, d, "part")

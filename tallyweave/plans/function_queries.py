@@ -369,3 +369,16 @@ def matches_not_open(spark, d):
     m = t(spark, d, "orders").select(_key().cast("string").alias("agenda_item_id"), F.col("o_custkey").cast("string").alias("political_promise_id"), F.lit("PARTIALLY_ALIGNS").alias("relation_type"), F.lit("n").alias("notes"))
     taken = m.withColumn("fingerprint", align.assessment_id()).select("fingerprint", F.when(F.col("agenda_item_id").cast("long") % 3 == 0, "approved").otherwise("rejected").alias("status"))
     return align.without_open(m, taken).select("agenda_item_id", "political_promise_id")
+
+
+@query("""
+WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE lower('User' || o_custkey % 700 || '@Mail.org') END AS email FROM orders), f AS (SELECT email, min(id) AS first FROM x WHERE email NOT IN (SELECT 'user' || c_custkey || '@mail.org' FROM customer WHERE c_custkey % 3 = 0) GROUP BY 1)
+SELECT id, CASE WHEN x.email IS NULL THEN 'invalid' WHEN id = first THEN 'added' ELSE 'already' END AS outcome FROM x LEFT JOIN f ON x.email = f.email
+""")
+def subscription_outcomes(spark, d):
+    """Requests to be told of news: bad addresses, known ones, and new ones once each."""
+    k = F.col("o_custkey")
+    mail = F.when(k % 10 == 0, "no address").otherwise(F.concat(F.lit(" User"), (k % 700).cast("string"), F.lit("@Mail.org")))
+    requests = t(spark, d, "orders").select(_key().alias("id"), mail.alias("email"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("agenda_id"))
+    existing = t(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@mail.org")).alias("email"))
+    return review.subscriptions(requests, existing)[1]

@@ -45,6 +45,17 @@ def page_counts(files: DataFrame, count: Callable[[bytes], int]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, n_pages int")
 
 
+def page_images(files: DataFrame, wanted: DataFrame, render: Callable[[bytes, int, float], bytes], zoom: float = 2.0) -> DataFrame:
+    """path, page_num, image of the wanted pages, as the provider draws them at that zoom; a file goes to one task with all its pages."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        content = bytes(rows["content"].iloc[0])
+        pages_ = sorted(set(rows["page_num"]))
+        return pd.DataFrame({"path": [key[0]] * len(pages_), "page_num": pages_, "image": [render(content, p, zoom) for p in pages_]})
+
+    return files.select("path", "content").join(wanted.select("path", "page_num"), "path").groupBy("path").applyInPandas(run, "path string, page_num int, image binary")
+
+
 def first_of(*providers: Callable[[str, int], list[dict]]) -> Callable[[str, int], list[dict]]:
     """A provider that asks these in turn until one has rows; one that fails counts as having none."""
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tallyweave.plans import catalogue, function_queries, graph_queries  # noqa: F401  the others add to the first
+from tallyweave.plans import catalogue, function_queries, graph_queries, oversight_queries  # noqa: F401  the others add to the first
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

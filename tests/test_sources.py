@@ -8,8 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from tallyweave import schemas
-from tallyweave.operators import align, fetch, graph
-from tallyweave.sources import binary, records
+from tallyweave.operators import align, fetch, graph, oversight
+from tallyweave.sources import binary, pacing, records
 
 
 def test_promise_csv(spark, tmp_path):
@@ -165,3 +165,44 @@ def test_overlap_topk(spark):
         got = [(x.shared, x.united, x.a, x.b) for x in align.overlap_topk(make(left, "a"), make(right, "b"), k).collect()]
         assert got == exp[:k]
     assert align.overlap_topk(make(left, "a").limit(0), make(right, "b"), 5).collect() == []
+
+
+def test_page_images(spark):
+    files = spark.createDataFrame([("a", b"xyz"), ("b", b"q")], "path string, content binary")
+    wanted = spark.createDataFrame([("a", 2), ("a", 1), ("a", 2), ("c", 1)], "path string, page_num int")
+    got = binary.page_images(files, wanted, lambda content, page, zoom: content * page + str(zoom).encode())
+    assert sorted((r.path, r.page_num, bytes(r.image)) for r in got.collect()) == [("a", 1, b"xyz2.0"), ("a", 2, b"xyzxyz2.0")]
+
+
+def test_pacer():
+    now = [100.0]
+    pacer = pacing.Pacer(600, clock=lambda: now[0])
+    slept = []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    pacer.acquire(600, sleep)
+    assert slept == [] and pacer.left == 0
+    pacer.acquire(50, sleep)
+    assert abs(now[0] - 105) < 1e-6 and max(slept) <= 2
+    pacer.settle(50, 20)
+    assert abs(pacer.left - 30) < 1e-6
+    pacer.settle(10, 1000)
+    assert pacer.left == 0
+    now[0] += 1000
+    assert pacer.left == 600 and pacer.delay(10_000) == 0 and pacer.delay(1) > 0
+    pacer.settle(10_000, 0)
+    assert pacer.left == 600
+
+
+def test_chain_and_trust_on_small_rows(spark):
+    at = lambda i: f"2024-01-{i:02d} 00:00:00"
+    rows = [("f", "federal_approval", at(1)), ("f", "federal_release", at(3)), ("f", "federal_release", at(2)), ("f", "province_release", at(9)), ("g", "no stage", at(1))]
+    events = spark.createDataFrame(rows, "flow string, stage string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.flow: r for r in oversight.chain(events).collect()}
+    assert (got["f"].reached, got["f"].n_missing, got["f"].first_missing) == ("province_release", 1, "province_receipt") and (got["g"].reached, got["g"].n_missing) == (None, 0)
+    assert [(r.from_stage, r.seconds) for r in oversight.waits(oversight.chain(events)).collect()] == [("federal_approval", 86400.0)]
+    nothing = oversight.bands(events.limit(0).withColumn("v", F.lit(1.0)), ["stage"], "v")
+    assert {r.delay for r in oversight.against_bands(events.withColumn("v", F.lit(1.0)), nothing, ["stage"], "v").collect()} == {"unknown"}
