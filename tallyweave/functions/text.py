@@ -55,12 +55,10 @@ def category_key(text: Column) -> Column:
 
 
 def tokens(*texts: Column) -> Column:
-    """Distinct words in order of their first place: of some length, no stop words, not digits alone."""
-    joined = F.concat_ws(" ", *[normal(t) for t in texts])
-    found = F.regexp_extract_all(joined, F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    kept = F.filter(found, lambda w: (F.length(w) >= MIN_TOKEN) & ~w.rlike("^[0-9]+$"))
-    return F.array_except(kept, stop)
+    """Distinct words in order of their first place: of some length, no stop words, not digits alone. One expression finds them, so no lambda runs."""
+    joined = F.lower(F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in texts]))
+    found = F.regexp_extract_all(joined, F.lit(f"(?=[0-9]*[a-z])[a-z0-9]{{{MIN_TOKEN},}}"), F.lit(0))
+    return F.array_except(found, F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
 def signals(words: Column) -> Column:
