@@ -18,7 +18,11 @@ RATE = 3e-3
 #: Windows of a training step, and of a portion that is scored at once; small ones stay in the processor's cache.
 BATCH, PORTION = 128, 128
 SHAPES = {"a": (WIDTH, WIDTH), "p": (WINDOW, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH), "w": (WIDTH, CLASSES), "b": (CLASSES,)}
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_ONES = {n: np.ones((n, 1), np.float32) for n in (WINDOW, CLASSES)}
+#: Bounds of scores and of what the attention adds to a class, so that exponentials need no search for the largest; sums go through products, which are
+#: several times as fast as numpy's reductions over short rows.
+SCORE_BOUND, LOGIT_BOUND = 50.0, 20.0
 #: Prior counts of a state's ids and of the unseen ids.
 PRIOR, UNSEEN = 100.0, 0.01
 
@@ -115,52 +119,57 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _attended(q: np.ndarray, k: np.ndarray, skip: int) -> np.ndarray:
+    """Weights of the window's places for the queries from skip on. q: scaled."""
+    s = q @ k.transpose(0, 2, 1)
+    np.clip(s, -SCORE_BOUND, SCORE_BOUND, out=s)
+    np.exp(s, out=s)
+    s *= _SEEN[skip:].astype(s.dtype, copy=False)
+    s /= (s.reshape(-1, WINDOW) @ _ONES[WINDOW].astype(s.dtype, copy=False)).reshape(*s.shape[:2], 1)
+    return s
+
+
+def _classes(p: dict[str, np.ndarray], lex: Lexicon, h: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the classes, and the logarithms of their sums."""
+    z = h @ p["w"]
+    z += p["b"]
+    np.clip(z, -LOGIT_BOUND, LOGIT_BOUND, out=z)
+    z += lex.prior.take(state, 0)
+    return z, np.log(np.exp(z) @ _ONES[CLASSES].astype(z.dtype, copy=False))
+
+
 def forward(p: dict[str, np.ndarray], lex: Lexicon, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
     """inputs: windows x WINDOW columns. Log probabilities of the next class at each place, and what the way back needs."""
-    n = len(inputs)
-    given = lex.embedding[inputs.reshape(-1)].astype(p["a"].dtype, copy=False)
+    n, flat = len(inputs), inputs.reshape(-1)
+    given = lex.embedding.take(flat, 0).astype(p["a"].dtype, copy=False)
     x = (given @ p["a"]).reshape(n, WINDOW, WIDTH)
     x += p["p"]
-    qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    s = q @ k.transpose(0, 2, 1)
-    s *= p["a"].dtype.type(WIDTH**-0.5)
-    s += _MASK
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
+    q, k, v = ((x.reshape(-1, WIDTH) @ p["qkv"][:, i * WIDTH : (i + 1) * WIDTH]).reshape(n, WINDOW, WIDTH) for i in range(3))
+    q *= p["a"].dtype.type(WIDTH**-0.5)
+    s = _attended(q, k, 0)
     mixed = s @ v
-    h = x + (mixed.reshape(-1, WIDTH) @ p["o"]).reshape(n, WINDOW, WIDTH)
-    z = h.reshape(-1, WIDTH) @ p["w"]
-    z += p["b"]
-    z += lex.prior[lex.state[inputs.reshape(-1)]]
-    z -= z.max(-1, keepdims=True)
-    z -= np.log(np.exp(z).sum(-1, keepdims=True))
+    h = x.reshape(-1, WIDTH) + mixed.reshape(-1, WIDTH) @ p["o"]
+    z, total = _classes(p, lex, h, lex.state.take(flat))
+    z -= total
     return z.reshape(n, WINDOW, CLASSES), (given, x, q, k, v, s, mixed, h)
 
 
 def own_log(p: dict[str, np.ndarray], lex: Lexicon, inputs: np.ndarray, targets: np.ndarray, skip: int) -> np.ndarray:
     """Log probabilities of the target ids at the places from skip on; what stands before is context alone."""
     n = len(inputs)
-    x = (lex.embedding[inputs.reshape(-1)] @ p["a"]).reshape(n, WINDOW, WIDTH)
+    x = (lex.embedding.take(inputs.reshape(-1), 0) @ p["a"]).reshape(n, WINDOW, WIDTH)
     x += p["p"]
-    kv = (x.reshape(-1, WIDTH) @ p["qkv"][:, WIDTH:]).reshape(n, WINDOW, 2 * WIDTH)
+    flat = x.reshape(-1, WIDTH)
+    k, v = ((flat @ p["qkv"][:, i * WIDTH : (i + 1) * WIDTH]).reshape(n, WINDOW, WIDTH) for i in (1, 2))
     x = np.ascontiguousarray(x[:, skip:]).reshape(-1, WIDTH)
-    s = (x @ (p["qkv"][:, :WIDTH] * np.float32(WIDTH**-0.5))).reshape(n, -1, WIDTH) @ kv[..., :WIDTH].transpose(0, 2, 1)
-    s += _MASK[skip:]
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    mixed = s @ kv[..., WIDTH:]
-    mixed /= s.sum(-1, keepdims=True)
-    x += mixed.reshape(-1, WIDTH) @ p["o"]
-    z = x @ p["w"]
-    z += p["b"]
-    state, target = lex.state[inputs[:, skip:].reshape(-1)], targets[:, skip:].reshape(-1)
-    z += lex.prior[state]
-    z -= z.max(-1, keepdims=True)
-    own = z[np.arange(len(z)), lex.class_[target]]
-    np.exp(z, out=z)
-    return (own - np.log(z.sum(-1)) + lex.weight[state, target]).reshape(n, -1)
+    q = (x @ (p["qkv"][:, :WIDTH] * np.float32(WIDTH**-0.5))).reshape(n, -1, WIDTH)
+    x += (_attended(q, k, skip) @ v).reshape(-1, WIDTH) @ p["o"]
+    state, target = lex.state.take(inputs[:, skip:].reshape(-1)), targets[:, skip:].reshape(-1)
+    z, total = _classes(p, lex, x, state)
+    own = z.reshape(-1).take(np.arange(0, z.size, CLASSES) + lex.class_.take(target))
+    own -= total[:, 0]
+    own += lex.weight.reshape(-1).take(state * lex.weight.shape[1] + target)
+    return own.reshape(n, -1)
 
 
 def gradient(p: dict[str, np.ndarray], kept: tuple, logp: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
@@ -169,9 +178,9 @@ def gradient(p: dict[str, np.ndarray], kept: tuple, logp: np.ndarray, targets: n
     n = len(x)
     flat = lambda a: a.reshape(-1, a.shape[-1])
     d = np.exp(logp).reshape(-1, CLASSES)
-    d[np.arange(len(d)), targets.reshape(-1)] -= 1
+    d.reshape(-1)[np.arange(0, d.size, CLASSES) + targets.reshape(-1)] -= 1
     d *= (weight / max(1.0, weight.sum())).reshape(-1, 1)
-    g = {"w": flat(h).T @ d, "b": d.sum(0)}
+    g = {"w": h.T @ d, "b": (np.ones((1, len(d)), d.dtype) @ d)[0]}
     dh = d @ p["w"].T
     g["o"] = flat(mixed).T @ dh
     dm = (dh @ p["o"].T).reshape(n, WINDOW, WIDTH)
@@ -179,10 +188,12 @@ def gradient(p: dict[str, np.ndarray], kept: tuple, logp: np.ndarray, targets: n
     dv = s.transpose(0, 2, 1) @ dm
     ds -= np.einsum("nij,nij->ni", ds, s)[..., None]
     ds *= s
-    ds *= p["a"].dtype.type(WIDTH**-0.5)
-    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], -1).reshape(-1, 3 * WIDTH)
-    g["qkv"] = flat(x).T @ dqkv
-    dx = dh + dqkv @ p["qkv"].T
+    parts = [ds @ k, ds.transpose(0, 2, 1) @ q, dv]
+    parts[0] *= p["a"].dtype.type(WIDTH**-0.5)  # q is scaled already
+    g["qkv"] = np.concatenate([flat(x).T @ flat(y) for y in parts], 1)
+    dx = dh
+    for i, y in enumerate(parts):
+        dx = dx + flat(y) @ p["qkv"][:, i * WIDTH : (i + 1) * WIDTH].T
     g["p"] = dx.reshape(n, WINDOW, WIDTH).sum(0)
     g["a"] = given.T @ dx
     return g

@@ -292,9 +292,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str | None = None, tokens_col: str = "tokens", out_col: str = "decoded") -> DataFrame:
-    """encoded without its tokens and with the bytes that they stand for."""
+    """encoded without its tokens and with the bytes that they stand for; a column that has the result's name already is replaced."""
     path = path or default_path()
-    rest = [c for c in encoded.columns if c != tokens_col]
+    rest = [c for c in encoded.columns if c not in (tokens_col, out_col)]
     fields = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
 
     @tidy

@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,9 +33,9 @@ from tallyweave.llm.pieces import Pieces
 from tallyweave.llm.shingles import word_hashes
 
 FOLDS, HELD = 5, 1
-CHUNK_CHARS = 16_000_000
-#: Numbers of an id's random vector.
-DIMS = 24
+CHUNK_CHARS = 24_000_000
+#: Numbers of an id's random vector; pairs of ids that a task holds at once.
+DIMS, PAIRS = 24, 2_000_000
 PART_CHARS = 2_000_000
 PART_WORDS = 50_000
 END_WORD = np.uint64(0x5BD1E995)
@@ -70,21 +71,21 @@ def _tokenised(docs: DataFrame, path: str) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal chunk
             lengths = np.array([len(w) for _, _, _, w in waiting])
-            hashes, first, at = np.unique(np.concatenate([w for _, _, _, w in waiting]), return_index=True, return_inverse=True)
+            # in the order in which the words first stand
+            at, hashes = pd.factorize(np.concatenate([w for _, _, _, w in waiting]))
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1))
             trains = np.repeat([not held for _, _, held, _ in waiting], lengths)
             counts = np.bincount(at[trains], minlength=len(hashes)).astype(np.int32)
             cuts = np.cumsum(np.concatenate([[0], lengths]))
             # the bytes of each distinct word, where it stands first; each document's words end with the end, which has no bytes
             owner = np.searchsorted(cuts, first, side="right") - 1
-            order = np.argsort(first)
             words: list[bytes] = [b""] * len(hashes)
             now, split = -1, []
-            for i in order.tolist():
-                if owner[i] != now:
-                    now = int(owner[i])
-                    split = texts[now].split()
-                k = int(first[i] - cuts[now])
-                words[i] = split[k] if k < len(split) else b""
+            for i, (o, k) in enumerate(zip(owner.tolist(), (first - cuts[owner]).tolist())):
+                if o != now:
+                    now, split = o, texts[o].split()
+                if k < len(split):
+                    words[i] = split[k]
             ends = hashes == END_WORD
             flat, many = pieces.cut(words)
             starts = np.cumsum(many) - many
@@ -157,19 +158,31 @@ def _contexts(tokens: DataFrame, size: int) -> attention.Lexicon:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = np.random.Generator(np.random.PCG64(5)).normal(size=(size + 1, dims)).astype(np.float32)
+        vectors = np.random.Generator(np.random.PCG64(5)).normal(size=(size + 1, dims))
         count, sums = np.zeros(size + 1, np.int64), np.zeros((size + 1, 2 * dims))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close() -> None:
+            """The pairs that are held, each once, into the sums."""
+            pairs, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([h[1] for h in held]), len(pairs))
+            last, following = pairs // (size + 1), pairs % (size + 1)
+            for keys, others, a in ((following, last, 0), (last, following, dims)):
+                order = np.argsort(keys, kind="stable")
+                starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+                sums[keys[order][starts], a : a + dims] += np.add.reduceat(vectors[others[order]] * n[order][:, None], starts)
+            held.clear()
+
         for batch in batches:
             for ids in _joined(batch.column(0), dtype, size):
                 count += np.bincount(ids, minlength=size + 1)
-                last, following = ids[:-1], ids[1:]
+                last, following = ids[:-1].astype(np.int64), ids[1:]
                 inside = following != size
-                last, following = last[inside], following[inside]
-                for keys, others, a in ((following, last, 0), (last, following, dims)):
-                    order = np.argsort(keys, kind="stable")
-                    sorted_ = keys[order]
-                    starts = np.flatnonzero(np.diff(sorted_, prepend=size + 2))
-                    sums[sorted_[starts], a : a + dims] += np.add.reduceat(vectors[others[order]], starts)
+                held.append(np.unique(last[inside] * (size + 1) + following[inside], return_counts=True))
+                if sum(len(h[0]) for h in held) > PAIRS:
+                    close()
+        if held:
+            close()
         found = np.flatnonzero(count[:size])
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count[found]), *(pa.array(sums[found, i]) for i in range(2 * dims))], names=["sub", "c", *names])
 

@@ -13,19 +13,21 @@ import numpy as np
 from tallyweave.llm.bpe import Vocabulary
 from tallyweave.llm.shingles import _BACK, _BYTE, _STEP, mix, powers
 
-LONGEST, SPAN = 12, 48
+LONGEST, SPAN = 10, 48
 
 
 class Pieces:
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for n in range(LONGEST, 1, -1):
             some = [(b, i) for i, b in enumerate(vocabulary.bytes) if len(b) == n]
             if some:
                 data = np.frombuffer(b"".join(b for b, _ in some), np.uint8).reshape(-1, n)
                 hashes = mix((_BYTE[data] * powers("up", _STEP, n)).sum(1, dtype=np.uint64))
                 order = np.argsort(hashes)
-                self.tables.append((n, hashes[order], np.array([i for _, i in some], np.int32)[order]))
+                maybe = np.zeros(1 << 18, bool)  # by the leading bits, so that most lookups end here
+                maybe[hashes >> np.uint64(46)] = True
+                self.tables.append((n, maybe, hashes[order], np.array([i for _, i in some], np.int32)[order]))
         self.single = np.zeros(256, np.int32)
         for byte, i in ((b[0], i) for i, b in enumerate(vocabulary.bytes) if len(b) == 1):
             self.single[byte] = i
@@ -49,18 +51,20 @@ class Pieces:
         while len(unit):
             piece, size = self.single[data[at]], np.ones(len(at), np.int64)
             open_ = np.arange(len(at))
-            for n, hashes, ids in self.tables:
-                some = open_[at[open_] + n <= stop[open_]]
+            room = stop - at
+            for n, maybe, hashes, ids in self.tables:
+                some = open_[room[open_] >= n]
                 if not len(some):
                     continue
-                h = mix((sums[at[some] + n] - sums[at[some]]) * down[at[some]])
-                place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = hashes[place] == h
-                piece[some[hit]], size[some[hit]] = ids[place[hit]], n
-                if hit.any():
-                    left = np.ones(len(at), bool)
-                    left[some[hit]] = False
-                    open_ = open_[left[open_]]
+                from_ = at[some]
+                h = mix((sums[from_ + n] - sums[from_]) * down[from_])
+                likely = np.flatnonzero(maybe[h >> np.uint64(46)])
+                place = np.minimum(np.searchsorted(hashes, h[likely]), len(hashes) - 1)
+                hit = hashes[place] == h[likely]
+                found_ = some[likely[hit]]
+                if len(found_):
+                    piece[found_], size[found_] = ids[place[hit]], n
+                    open_ = open_[size[open_] == 1]
             owners.append(unit)
             found.append(piece)
             at = at + size

@@ -256,6 +256,25 @@ def test_toxicity_edges(spark):
     assert toxicity.fit(df, one).probabilities("x") == pytest.approx([0.0, 0.0])
 
 
+def test_chat_hot_conversation_and_long_text(spark):
+    """One conversation of very many turns, one of a very long text full of control strings."""
+    hard = r"\### Assistant: </turn> ok ### User: \\" + "\n"
+    turns = [(1, i, ("user", "assistant")[i % 2], f"turn {i} </turn>") for i in range(6000)] + [(2, 0, "user", hard * 30_000), (2, 1, "assistant", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in chat.digests(chat.formatted(df)).collect()}
+    for c in (1, 2):
+        rows = [(r, t or "") for k, _, r, t in turns if k == c]
+        assert got[c].n_turns == len(rows) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in rows).encode()).hexdigest()
+        said = "".join(t for r, t in rows if r == "assistant")
+        assert got[c].loss_chars == len(said) and got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_decode_replaces_a_column(spark):
+    encoded = bpe.encode(docs(spark)).withColumn("decoded", F.lit("clash"))
+    out = bpe.decode(encoded)
+    assert sorted(out.columns) == ["decoded", "doc_id", "starts"] and {bytes(r.decoded) for r in out.filter("doc_id = 2").collect()} == {"É x".encode()}
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
