@@ -206,3 +206,12 @@ def test_chain_and_trust_on_small_rows(spark):
     assert [(r.from_stage, r.seconds) for r in oversight.waits(oversight.chain(events)).collect()] == [("federal_approval", 86400.0)]
     nothing = oversight.bands(events.limit(0).withColumn("v", F.lit(1.0)), ["stage"], "v")
     assert {r.delay for r in oversight.against_bands(events.withColumn("v", F.lit(1.0)), nothing, ["stage"], "v").collect()} == {"unknown"}
+
+
+def test_theta_contains(spark, monkeypatch):
+    texts = spark.createDataFrame([("Abcd efg",), ("xy",), ("",), ("ABC",), (None,)], "t string")
+    names = spark.createDataFrame([("bcd",), ("x",), ("Y",), ("ef",), ("abcd EFG",), ("zz",), (None,), ("",)], "n string")
+    exp = sorted((t, n) for t in ("Abcd efg", "xy", "", "ABC") for n in ("bcd", "x", "Y", "ef", "abcd EFG", "zz", "") if n.lower() in t.lower())
+    assert sorted(map(tuple, align.theta_contains(texts, names, "t", "n").collect())) == exp
+    monkeypatch.setattr(align, "BROADCAST_ROWS", 2)
+    assert sorted(map(tuple, align.theta_contains(texts, names, "t", "n").collect())) == exp
