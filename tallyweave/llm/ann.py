@@ -75,6 +75,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """A binary column with a vector's doubles in each row: Spark moves it as it is, where an array would be taken apart number by number."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * 8)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
 def _hashed(vectors: DataFrame, hasher: Hasher | None, query: bool) -> DataFrame:
     """vectors: vid, vec. A row for each bucket that a vector is in, or that a query visits; without a hasher all share one."""
 
@@ -82,13 +92,15 @@ def _hashed(vectors: DataFrame, hasher: Hasher | None, query: bool) -> DataFrame
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                x = _matrix(part.column(1))
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                whole = _matrix(part.column(1))
+                x = whole / np.linalg.norm(whole, axis=1)[:, None]
                 keys = np.zeros((len(x), 1), np.int64) if hasher is None else hasher.visits(x) if query else hasher.buckets(x)
-                take = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column(0).take(take), part.column(1).take(take)], names=["bucket", "vid", "vec"])
+                for b in range(0, len(x), 32):  # a query goes to many buckets
+                    n = len(x[b : b + 32])
+                    take = np.repeat(np.arange(b, b + n), keys.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[b : b + 32].reshape(-1)), part.column(0).take(pa.array(take)), _packed(whole[take])], names=["bucket", "vid", "vec"])
 
-    return vectors.select("vid", "vec").mapInArrow(run, "bucket long, vid long, vec array<double>").withColumn("query", F.lit(int(query)))
+    return vectors.select("vid", "vec").mapInArrow(run, "bucket long, vid long, vec binary").withColumn("query", F.lit(int(query)))
 
 
 def _best_of(x: np.ndarray, vids: np.ndarray, q: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +150,7 @@ def _searched(index: DataFrame, queries: DataFrame, best: int) -> DataFrame:
 
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in (0, 1, 2)], 1)
-            vids, x = batch.column(3).to_numpy(), _matrix(batch.column(4))
+            vids, x = batch.column(3).to_numpy(), _unpacked(batch.column(4))
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
