@@ -4,7 +4,7 @@ Pre-tokenisation runs without a regular expression. Every code point has a class
 class with the next one's, and an automaton of eight states reads symbols. A symbol is a function from state to state,
 and functions compose associatively: the text is cut into blocks of equal length, the functions of all blocks are
 composed side by side, a prefix scan over blocks gives the state before each, and a second pass writes down the
-places where a piece begins. Pieces then go through a cache of merged pairs (bounded, emptied when full); long pieces merge with a heap, in n log n.
+places where a piece begins. Pieces then go through a bounded cache of merged pairs; long pieces merge with a heap, in n log n.
 
 Defined results:
 - null text: as the empty text, no tokens; empty table: no rows; extra columns: ignored
@@ -38,7 +38,7 @@ LETTERS = (LETTER, STMD, R, V, L, E)
 CONTROLS = (*range(0x09, 0x0E), 0x85)
 BLOCK = 256
 BATCH_CHARS = 1_000_000
-CACHE = 200_000
+CACHE = 400_000
 #: Bytes up to which a list of pairs is searched; longer pieces use a heap.
 SHORT = 96
 
@@ -146,7 +146,9 @@ class Vocabulary:
         for piece, rank in self.ranks.items():
             self.bytes[rank] = piece
         self.lengths = np.array([len(x) for x in self.bytes], np.uint32)
+        # what was merged lately, and before that: half of the bound each, so that frequent pieces outlast a full cache
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The lowest rank first, the leftmost of equal ones."""
@@ -220,7 +222,7 @@ class Vocabulary:
         cuts = np.searchsorted(starts, firsts).tolist()
         places = starts.tolist()
         places.append(len(text))
-        cache, merge = self.cache, self.merge
+        cache, older, merge = self.cache, self.older, self.merge
         for k, i in enumerate(group):
             ids: list[int] = []
             own = places[cuts[k] : cuts[k + 1] + 1]
@@ -228,13 +230,16 @@ class Vocabulary:
                 piece = text[a:b]
                 found = cache.get(piece)
                 if found is None:
-                    found = merge(piece.encode("utf-8", "surrogatepass"))
-                    if len(cache) >= CACHE:
-                        cache.clear()
+                    found = older.get(piece)
+                    if found is None:
+                        found = merge(piece.encode("utf-8", "surrogatepass"))
+                    if len(cache) >= CACHE // 2:
+                        cache, older = {}, cache
                     if b - a <= 64:
                         cache[piece] = found
                 ids += found
             out[i] = np.array(ids, np.uint32)
+        self.cache, self.older = cache, older
 
     def starts(self, ids: np.ndarray) -> np.ndarray:
         """The byte offset of each token."""
