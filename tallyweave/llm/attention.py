@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CLASSES, STATES, WIDTH, WINDOW, STRIDE = 32, 128, 16, 24, 16
+CLASSES, STATES, WIDTH, WINDOW, STRIDE = 16, 256, 8, 24, 16
 RATE = 3e-3
 #: Windows of a training step, and of a portion that is scored at once; small ones stay in the processor's cache.
 BATCH, PORTION = 128, 128

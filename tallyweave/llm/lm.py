@@ -265,9 +265,9 @@ def _lm_scores(tokens: DataFrame, model: attention.Model, size: int) -> DataFram
 
 
 def _base_scores(tokens: DataFrame, totals: DataFrame, n: int, v: int) -> DataFrame:
-    """A chunk's rows meet in one task: first its dictionary's totals, then its documents."""
-    documents = tokens.filter("words IS NOT NULL").select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("total"), "place", "id", "held", "n", "words")
-    counts = totals.select("chunk", F.lit(0).alias("kind"), "at", "total", *(F.lit(None).cast(t).alias(c) for c, t in (("place", "long"), ("id", "long"), ("held", "boolean"), ("n", "long"), ("words", "binary"))))
+    """A chunk's rows meet in one task: first its dictionary's totals, then its documents, whose place and identifier stand in the same narrow columns."""
+    documents = tokens.filter("words IS NOT NULL").select("chunk", F.when(F.col("held"), 2).otherwise(1).alias("kind"), F.col("place").alias("at"), F.col("id").alias("value"), "words")
+    counts = totals.select("chunk", F.lit(0).alias("kind"), F.col("at").cast("long").alias("at"), F.col("total").alias("value"), F.lit(None).cast("binary").alias("words"))
     rows = counts.unionByName(documents).repartition("chunk").sortWithinPartitions("chunk", "kind", "at")
     whole = np.log10(n + 0.5 * (v + 1))
 
@@ -276,7 +276,7 @@ def _base_scores(tokens: DataFrame, totals: DataFrame, n: int, v: int) -> DataFr
         held: list[np.ndarray] = []
         logs, now = np.empty(0), None
         for batch in batches:
-            chunk, kind, total = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            chunk, kind, value = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).fill_null(0).to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(chunk)]])
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -284,19 +284,18 @@ def _base_scores(tokens: DataFrame, totals: DataFrame, n: int, v: int) -> DataFr
                 if chunk[a] != now:
                     held, logs, now = [], np.empty(0), chunk[a]
                 if kind[a] == 0:
-                    held.append(total[a:b])
+                    held.append(value[a:b])
                     continue
                 if held:
                     every = np.concatenate(held)
                     # a word outside the training texts is marked by adding an imaginary part
                     logs = np.log10(every + 0.5) - whole + 1j * (every > 0)
                     held = []
-                sums = [logs[np.cumsum(np.frombuffer(x.as_buffer(), np.int32))].sum() for x in batch.column(8).slice(a, b - a)]
+                own = [np.cumsum(np.frombuffer(x.as_buffer(), np.int32)) for x in batch.column(4).slice(a, b - a)]
+                sums = [logs[x].sum() for x in own]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(4), part.column(5), part.column(6), part.column(7), pa.array([int(round(s.imag)) for s in sums]), pa.array([float(s.real) for s in sums])],
-                    names=["chunk", "place", "id", "held", "n", "n_known", "base"],
-                )
+                columns = [part.column(0), part.column(2), part.column(3), pa.array(np.full(b - a, kind[a] == 2)), pa.array([len(x) for x in own], pa.int64()), pa.array([int(round(s.imag)) for s in sums], pa.int64()), pa.array([float(s.real) for s in sums])]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "id", "held", "n", "n_known", "base"])
 
     return rows.mapInArrow(run, "chunk long, place long, id long, held boolean, n long, n_known long, base double")
 
